@@ -68,7 +68,7 @@ def register(name, operator, columns, source, ctes):
 
 PERIODS = trend.AVERAGE_PERIODS
 
-SMA = {f"SMA_{n}": (roll("avg", "close", n), 5) for n in PERIODS}
+SMA = {f"SMA_{n}": (roll("avg", "close", n), 7) for n in PERIODS}
 register("t1_sma", trend.sma, SMA, "bars", {})
 
 EMA_CTES = {f"e{n}": smooth("bars", "close", 2 / (n + 1), f"v{n}", n) for n in PERIODS}
@@ -101,13 +101,13 @@ ICHI_CTES = {
 }
 BOTH = "sa IS NOT NULL AND sb IS NOT NULL"
 ICHI = {
-    "Ichimoku_Tenkan": ("tk", 6), "Ichimoku_Kijun": ("kj", 6), "Ichimoku_Senkou_A": ("sa", 7),
-    "Ichimoku_Senkou_B": ("sb", 6), "Ichimoku_Chikou": ("ck", 6),
+    "Ichimoku_Tenkan": ("tk", None), "Ichimoku_Kijun": ("kj", None), "Ichimoku_Senkou_A": ("sa", None),
+    "Ichimoku_Senkou_B": ("sb", None), "Ichimoku_Chikou": ("ck", None),
     "Ichimoku_Tenkan_Above_Kijun": (flag("tk > kj"), None),
     "Ichimoku_Price_Above_Cloud": (flag(f"{BOTH} AND close > greatest(sa, sb)"), None),
     "Ichimoku_Price_Below_Cloud": (flag(f"{BOTH} AND close < least(sa, sb)"), None),
     "Ichimoku_Cloud_Green": (flag("sa > sb"), None),
-    "Ichimoku_Cloud_Thickness": ("abs(sa - sb)", 7),
+    "Ichimoku_Cloud_Thickness": ("abs(sa - sb)", None),
 }
 register("t4_ichimoku", trend.ichimoku, ICHI, "i2", ICHI_CTES)
 
@@ -222,7 +222,7 @@ ATR_CTES = {
 ATR = {
     "ATR": ("av", 5), "ATR_Percent": ("100 * av / close", 5),
     "ATR_High_Volatility": (flag("av > am * 1.5"), None), "ATR_Low_Volatility": (flag("av < am * 0.5"), None),
-    "ATR_Upper_Band": ("close + 2 * av", 4), "ATR_Lower_Band": ("close - 2 * av", 4),
+    "ATR_Upper_Band": ("close + 2 * av", 7), "ATR_Lower_Band": ("close - 2 * av", 7),
 }
 register("l2_atr", volatility.atr, ATR, "a4", ATR_CTES)
 
@@ -295,21 +295,21 @@ VPT_CTES = {
     "p1": f"SELECT *, (close / {lag('close')} - 1) * volume AS fl FROM bars",
     "p2": f"SELECT *, sum(fl) OVER ({W}) AS vpt FROM p1",
 } | level_ctes("p2", "vpt", "p3")
-VPT = {"VPT": ("vpt", 5)} | level_columns("VPT", "vpt", "p3", 5) | {
+VPT = {"VPT": ("vpt", 4)} | level_columns("VPT", "vpt", "p3", 4) | {
     "VPT_ROC_5": ("100 * (vpt - p3p5) / nullif(p3p5, 0)", 3), "VPT_ROC_10": ("100 * (vpt - p3pp) / nullif(p3pp, 0)", 3)}
 register("u2_vpt", volume.vpt, VPT, "p3", VPT_CTES)
 
 A = 9 / 11
 AD_CTES = {
     "d1": "SELECT *, CASE WHEN high = low THEN 0.0 ELSE ((close - low) - (high - close)) / (high - low) END * volume AS mf FROM bars",
-    "d2": f"SELECT *, sum(mf) OVER ({W}) AS ad, row_number() OVER ({W}) - 1 AS k FROM d1",
+    "d2": f"SELECT *, round(sum(mf) OVER ({W}), 8) AS ad, row_number() OVER ({W}) - 1 AS k FROM d1",
 } | level_ctes("d2", "ad", "d3") | {
     "d4": f"""SELECT b.ticker, b.date, sum(a.ad * pow({A!r}, b.k - a.k)) / sum(pow({A!r}, b.k - a.k)) AS ae
       FROM d2 a JOIN d2 b ON a.ticker = b.ticker AND a.k <= b.k GROUP BY b.ticker, b.date""",
     "d5": "SELECT * FROM d3 JOIN d4 USING (ticker, date)",
 }
-AD = {"AD_Line": ("ad", 5)} | level_columns("AD", "ad", "d3", 5) | {
-    "AD_Oscillator": ("ad - ae", 5), "AD_Oscillator_Above_Zero": (flag("round(ad - ae, 9) > 0"), None)}
+AD = {"AD_Line": ("ad", 4)} | level_columns("AD", "ad", "d3", 4) | {
+    "AD_Oscillator": ("ad - ae", 4), "AD_Oscillator_Above_Zero": (flag("round(ad - ae, 9) > 0"), None)}
 register("u3_ad_line", volume.ad_line, AD, "d5", AD_CTES)
 
 PROFILE_CTES = {"f1": "SELECT *, " + ", ".join(
