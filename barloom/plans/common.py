@@ -24,9 +24,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def nudge(digits: int) -> float:
+    """Moves decimal fractions off the rounding ties, where engines disagree."""
+    return float(f"1.3e-{digits + 1}")
+
+
+def rounded(c, digits: int):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + F.lit(nudge(digits)), digits)
+
+
+def near(expression: str, digits: int) -> str:
+    """SQL twin of ``rounded``."""
+    return f"round(({expression}) + {nudge(digits)!r}::DOUBLE, {digits})"
+
+
 def shown(df: DataFrame, keys: list[str], digits: dict[str, int | None]) -> DataFrame:
     """keys plus the named columns; doubles rounded so both engines agree."""
     return df.select(
         *keys,
-        *[F.col(c) if d is None else F.round(F.col(c), d).alias(c) for c, d in digits.items()],
+        *[F.col(c) if d is None else rounded(c, d).alias(c) for c, d in digits.items()],
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..operators import momentum, trend, volatility, volume
 from ..sources import views
-from .common import query, shown
+from .common import near, query, shown
 from .views import sql
 
 K = ["ticker", "date"]
@@ -49,7 +49,7 @@ def smooth(source, x, alpha, name, min_rows):
 
 def final(columns: dict[str, tuple[str, int | None]], source: str) -> str:
     out = ", ".join(
-        f"{e} AS \"{c}\"" if d is None else f"round({e}, {d}) AS \"{c}\"" for c, (e, d) in columns.items()
+        f"{e} AS \"{c}\"" if d is None else f"{near(e, d)} AS \"{c}\"" for c, (e, d) in columns.items()
     )
     return f"SELECT ticker, date, {out} FROM {source}"
 
@@ -68,7 +68,7 @@ def register(name, operator, columns, source, ctes):
 
 PERIODS = trend.AVERAGE_PERIODS
 
-SMA = {f"SMA_{n}": (roll("avg", "close", n), 7) for n in PERIODS}
+SMA = {f"SMA_{n}": (roll("avg", "close", n), 5) for n in PERIODS}
 register("t1_sma", trend.sma, SMA, "bars", {})
 
 EMA_CTES = {f"e{n}": smooth("bars", "close", 2 / (n + 1), f"v{n}", n) for n in PERIODS}
@@ -222,7 +222,7 @@ ATR_CTES = {
 ATR = {
     "ATR": ("av", 5), "ATR_Percent": ("100 * av / close", 5),
     "ATR_High_Volatility": (flag("av > am * 1.5"), None), "ATR_Low_Volatility": (flag("av < am * 0.5"), None),
-    "ATR_Upper_Band": ("close + 2 * av", 7), "ATR_Lower_Band": ("close - 2 * av", 7),
+    "ATR_Upper_Band": ("close + 2 * av", 5), "ATR_Lower_Band": ("close - 2 * av", 5),
 }
 register("l2_atr", volatility.atr, ATR, "a4", ATR_CTES)
 
@@ -302,14 +302,14 @@ register("u2_vpt", volume.vpt, VPT, "p3", VPT_CTES)
 A = 9 / 11
 AD_CTES = {
     "d1": "SELECT *, CASE WHEN high = low THEN 0.0 ELSE ((close - low) - (high - close)) / (high - low) END * volume AS mf FROM bars",
-    "d2": f"SELECT *, round(sum(mf) OVER ({W}), 8) AS ad, row_number() OVER ({W}) - 1 AS k FROM d1",
+    "d2": f"SELECT *, list_reduce(list(mf) OVER ({W}), lambda x, y: x + y) AS ad, row_number() OVER ({W}) - 1 AS k FROM d1",
 } | level_ctes("d2", "ad", "d3") | {
     "d4": f"""SELECT b.ticker, b.date, sum(a.ad * pow({A!r}, b.k - a.k)) / sum(pow({A!r}, b.k - a.k)) AS ae
       FROM d2 a JOIN d2 b ON a.ticker = b.ticker AND a.k <= b.k GROUP BY b.ticker, b.date""",
     "d5": "SELECT * FROM d3 JOIN d4 USING (ticker, date)",
 }
 AD = {"AD_Line": ("ad", 4)} | level_columns("AD", "ad", "d3", 4) | {
-    "AD_Oscillator": ("ad - ae", 4), "AD_Oscillator_Above_Zero": (flag("round(ad - ae, 9) > 0"), None)}
+    "AD_Oscillator": ("ad - ae", 4), "AD_Oscillator_Above_Zero": (flag("ad - ae > 0"), None)}
 register("u3_ad_line", volume.ad_line, AD, "d5", AD_CTES)
 
 PROFILE_CTES = {"f1": "SELECT *, " + ", ".join(

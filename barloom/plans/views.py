@@ -21,7 +21,7 @@ VIEWS = {
   FROM supplier""",
     "dividends": """
   SELECT o_orderkey AS id, o_custkey % (SELECT count(*) FROM supplier) + 1 AS ticker_id,
-    CAST(o_orderdate AS DATE) AS ex_dividend_date, round(o_totalprice / 1e5, 6) AS cash_amount
+    CAST(o_orderdate AS DATE) AS ex_dividend_date, o_totalprice / 1e5 AS cash_amount
   FROM orders""",
     "statements": """
   SELECT ticker_id,
@@ -71,7 +71,3 @@ def sql(body: str, *views: str, **ctes: str) -> str:
     parts += [f"{name} AS ({text})" for name, text in ctes.items()]
     return f"WITH {', '.join(parts)}\n{body}" if parts else body
 
-
-def rounded(columns: dict[str, str], digits: int) -> str:
-    """Select list of rounded expressions."""
-    return ", ".join(f"round({e}, {digits}) AS \"{n}\"" for n, e in columns.items())

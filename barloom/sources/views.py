@@ -77,7 +77,7 @@ def dividends(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("id"),
         (F.col("o_custkey") % supplier_count(spark, folder) + 1).alias("ticker_id"),
         F.col("o_orderdate").cast("date").alias("ex_dividend_date"),
-        F.round(F.col("o_totalprice") / 1e5, 6).alias("cash_amount"),
+        (F.col("o_totalprice") / 1e5).alias("cash_amount"),
     )
 
 
