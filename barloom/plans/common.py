@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def nudge(digits: int) -> float:
     """Moves decimal fractions off the rounding ties, where engines disagree."""
-    return float(f"1.3e-{digits + 1}")
+    return float(f"1.31415e-{digits + 1}")
 
 
 def rounded(c, digits: int):
