@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,8 +198,11 @@ def split_off_last(df: DataFrame, share: float = 0.1, column: str = "date") -> D
     """
     per_day = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = per_day.agg(F.sum("n")).scalar()
-    newer = per_day.alias("a").join(per_day.select(F.col(column).alias("_d"), F.col("n").alias("_n")), F.col(f"a.{column}") <= F.col("_d"))
-    cut = newer.groupBy(F.col(f"a.{column}")).agg(F.sum("_n").alias("rows_from")).where(F.col("rows_from") <= F.greatest(F.lit(1.0), total * share))
+    # One row per calendar day reaches this window.
+    newest_first = Window.orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, 0)
+    cut = per_day.withColumn("rows_from", F.sum("n").over(newest_first)).where(
+        F.col("rows_from") <= F.greatest(F.lit(1.0), total * share)
+    )
     first = cut.agg(F.min(column)).scalar()
     return df.withColumn("part", F.when(F.col(column) >= first, "validation").otherwise("train"))
 
