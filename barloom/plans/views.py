@@ -44,6 +44,13 @@ VIEWS = {
       CAST(coalesce(sum(p) FILTER (o_orderstatus = 'O'), 0) AS DOUBLE) AS current_liabilities,
       CAST(coalesce(sum(p) FILTER (o_orderstatus = 'P'), 0) AS DOUBLE) AS pending
     FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders) GROUP BY 1, 2)""",
+    "filed": """
+  SELECT * REPLACE (
+    CASE WHEN ticker_id % 9 = 0 AND fiscal_period = 'Q2' THEN NULL WHEN ticker_id % 11 = 0 THEN -revenues ELSE revenues END AS revenues,
+    CASE WHEN ticker_id % 7 = 0 THEN gross_profit * 1.05::DOUBLE + 1 ELSE gross_profit END AS gross_profit,
+    CASE WHEN ticker_id % 5 = 0 THEN equity * 0.9::DOUBLE - 1 ELSE equity END AS equity,
+    CASE WHEN ticker_id % 6 = 0 THEN net_cash_flow * 1.2::DOUBLE + 1 ELSE net_cash_flow END AS net_cash_flow)
+  FROM statements""",
     "articles": """
   SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 200) AS title, text AS description,
     'https://news.example.com/' || CAST(doc_id AS VARCHAR) AS article_url, source AS author,

@@ -126,6 +126,17 @@ def statements(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def filed(spark: SparkSession, folder: str) -> DataFrame:
+    """Statements as filed: some figures are missing or do not add up."""
+    t = F.col("ticker_id")
+    return statements(spark, folder).withColumns({
+        "revenues": F.when((t % 9 == 0) & (F.col("fiscal_period") == "Q2"), None).when(t % 11 == 0, -F.col("revenues")).otherwise(F.col("revenues")),
+        "gross_profit": F.when(t % 7 == 0, F.col("gross_profit") * 1.05 + 1).otherwise(F.col("gross_profit")),
+        "equity": F.when(t % 5 == 0, F.col("equity") * 0.9 - 1).otherwise(F.col("equity")),
+        "net_cash_flow": F.when(t % 6 == 0, F.col("net_cash_flow") * 1.2 + 1).otherwise(F.col("net_cash_flow")),
+    })
+
+
 INCOME = ["revenues", "cost_of_revenue", "gross_profit", "operating_expenses", "net_income_loss"]
 BALANCE = ["assets", "current_assets", "liabilities", "current_liabilities", "equity"]
 CASH = ["operating_cash_flow", "investing_cash_flow", "financing_cash_flow", "net_cash_flow"]
@@ -156,8 +167,8 @@ def statement_payloads(spark: SparkSession, folder: str) -> DataFrame:
             items(CASH, cash_key.get).alias("cash_flow_statement"),
         ).alias("financials"),
     )
-    return statements(spark, folder).select(
-        "ticker_id", "ticker", "filing_date",
+    return filed(spark, folder).select(
+        "ticker_id", "ticker", "end_date", "filing_date",
         F.to_json(F.struct(F.lit("OK").alias("status"), F.array(result).alias("results"))).alias("payload"),
     )
 
