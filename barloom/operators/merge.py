@@ -105,9 +105,9 @@ def upsert_articles(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     fields = ("title", "description", "quality_score", "relevance_score", "keywords")
     lists = ("tickers", "insights")
-    # Fields the reference never updates after the insert.
+    # Set once, at the insert.
     fixed = [c for c in old.columns if c not in fields + lists + ("polygon_id",)]
-    cut = new.withColumns({"title": F.substring("title", 1, 1000), "tickers": F.transform("tickers", F.upper)})
+    cut = new.withColumns({"title": F.substring("title", 1, 1000), "tickers": F.transform("tickers", lambda t: F.upper(t))})
     o = old.select("polygon_id", *[F.col(c).alias(f"_o_{c}") for c in [*fields, *lists, *fixed]], F.lit(1).alias("_in_old"))
     n = cut.select("polygon_id", *[F.col(c).alias(f"_n_{c}") for c in [*fields, *lists, *fixed]], F.lit(1).alias("_in_new"))
     both = F.col("_in_new").isNotNull() & F.col("_in_old").isNotNull()
@@ -124,7 +124,10 @@ def upsert_articles(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "polygon_id", "full").select(
         "polygon_id",
         *[F.when(here, F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in fields],
-        *[F.when(here & filled[c], F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in lists],
+        *[
+            F.when(here & (filled[c] | F.col("_in_old").isNull()), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c)
+            for c in lists
+        ],
         *[F.when(F.col("_in_old").isNotNull(), F.col(f"_o_{c}")).otherwise(F.col(f"_n_{c}")).alias(c) for c in fixed],
         outcome.alias("outcome"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranks import exact_quantiles
+from ..functions.shared import materialise
 from .features import calendar, numeric_columns, prediction_bounds, price_normalised, return_target
 from .trend import LOOK_AHEAD
 from .validate import on_weekdays
@@ -229,7 +230,8 @@ def common_training_data(df: DataFrame, target: str, columns: list[str], low=0.0
 def prepared_training_set(features: DataFrame, horizon=10, split_date="2025-05-01", correlation=0.99, **options):
     """Training set, cleaned, without useless columns: (frame, target, kept, removed)."""
     df, target, names = training_set(features, horizon, split_date, **options)
-    df = clean_numeric(df, names, to_float=False)
+    # Medians, statistics and correlations each read the frame: compute it once.
+    df = clean_numeric(materialise(df, "training"), names, to_float=False)
     kept, removed = remove_columns(df, names, correlation)
     return df.select("ticker", "date", *kept, target, "split"), target, kept, removed
 
