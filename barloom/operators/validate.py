@@ -69,9 +69,8 @@ def batch_statistics(checked: DataFrame) -> DataFrame:
 def split_valid(checked: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejects). Strict mode fails the job on the first invalid row."""
     if strict:
-        checked = checked.where(
-            F.col("valid") | F.raise_error(F.concat(F.lit("invalid bar: "), F.array_join("errors", ","))).isNull()
-        )
+        failure = F.raise_error(F.concat(F.lit("invalid bar: "), F.array_join("errors", ","))).cast("boolean")
+        checked = checked.withColumn("valid", F.when(F.col("valid"), True).otherwise(failure))
     return checked.where("valid").drop("errors", "valid"), checked.where(~F.col("valid")).drop("valid")
 
 

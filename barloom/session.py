@@ -7,10 +7,10 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str | None = None, partitions: int = 8) -> SparkSession:
+def local_session(cores: str | None = None, partitions: int = 8, checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own settings."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("barloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -20,7 +20,9 @@ def local_session(cores: str | None = None, partitions: int = 8) -> SparkSession
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

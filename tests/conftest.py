@@ -12,9 +12,7 @@ def spark(tmp_path_factory):
     os.environ.setdefault("BENCH_DRIVER_MEMORY", "8g")
     from barloom.session import local_session
 
-    s = local_session(partitions=4)
-    s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    yield s
+    yield local_session(partitions=4, checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")
