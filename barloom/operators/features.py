@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.staging import apply
 from ..functions.windows import ahead, flag, prev, ratio, relative_change
 from . import momentum, trend, validate, volatility, volume
 
 RETURN_HORIZONS = (1, 5, 10, 20, 30)
 TARGET_HORIZONS = (10, 20)
 CATEGORIES = {
-    "trend": trend.trend, "momentum": momentum.momentum,
-    "volatility": volatility.volatility, "volume": volume.volume,
+    "trend": trend.trend_levels, "momentum": momentum.momentum_levels,
+    "volatility": volatility.volatility_levels, "volume": volume.volume_levels,
 }
 
 
@@ -69,17 +70,16 @@ def targets(panel: DataFrame, horizons=TARGET_HORIZONS) -> DataFrame:
 
 
 def all_features(panel: DataFrame, categories=tuple(CATEGORIES), drop_invalid_category: bool = False) -> DataFrame:
-    """Every chosen category on one panel; all windows share the exchange on ticker.
+    """Every chosen category on one panel, level by level; all windows share one exchange.
 
     With drop_invalid_category a category is set to null for tickers whose columns of it
     score below 50 or hold an infinite value.
     """
-    out = panel
-    for category in categories:
-        before = out.columns
-        out = CATEGORIES[category](out)
-        if drop_invalid_category:
-            added = [c for c in out.columns if c not in before]
+    levels = {c: CATEGORIES[c]() for c in categories}
+    out = apply(panel, *[x for xs in levels.values() for x in xs]) if levels else panel
+    if drop_invalid_category:
+        for xs in levels.values():
+            added = [n for x in xs for n in x.outputs]
             good = validate.category_quality(out, added).where(
                 (F.col("quality_score") >= 50) & (F.col("has_infinite") == 0)
             ).select("ticker", F.lit(True).alias("_good"))

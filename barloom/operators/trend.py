@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.smoothing import ema, smooth
+from ..functions.smoothing import ema
+from ..functions.staging import Indicator, Level, apply
 from ..functions.windows import (
     ahead, both, flag, prev, rolling_max, rolling_mean, rolling_min,
 )
@@ -20,66 +21,65 @@ AVERAGE_PERIODS = (5, 10, 20, 50, 100, 200)
 LOOK_AHEAD = ("Ichimoku_Chikou", "Ichimoku_Chikou_Ratio")
 
 
+def sma_levels(periods=AVERAGE_PERIODS) -> Indicator:
+    return Indicator([Level({f"SMA_{n}": rolling_mean("close", n) for n in periods})])
+
+
 def sma(panel: DataFrame, periods=AVERAGE_PERIODS) -> DataFrame:
     """Null for tickers with fewer than n rows, as there is no full window."""
-    return panel.withColumns({f"SMA_{n}": rolling_mean("close", n) for n in periods})
+    return apply(panel, sma_levels(periods))
 
 
-def _ema_items(periods):
-    return [ema(f"EMA_{n}", "close", 2 / (n + 1), n) for n in periods]
+def ema_levels(periods=AVERAGE_PERIODS) -> Indicator:
+    return Indicator([Level(smoothed=[ema(f"EMA_{n}", "close", 2 / (n + 1), n) for n in periods], inputs=["close"])])
 
 
 def exponential(panel: DataFrame, periods=AVERAGE_PERIODS) -> DataFrame:
-    return smooth(panel, _ema_items(periods), ["close"])
+    return apply(panel, ema_levels(periods))
 
 
-def _macd_base(fast, slow):
-    return [ema("_fast", "close", 2 / (fast + 1), fast), ema("_slow", "close", 2 / (slow + 1), slow)]
+def macd_levels(fast=12, slow=26, signal=9) -> Indicator:
+    line, sig = F.col("MACD"), F.col("MACD_Signal")
+    above = flag(line > sig)
+    return Indicator([
+        Level(smoothed=[ema("_fast", "close", 2 / (fast + 1), fast), ema("_slow", "close", 2 / (slow + 1), slow)], inputs=["close"]),
+        Level({"MACD": F.col("_fast") - F.col("_slow")}, [ema("MACD_Signal", "MACD", 2 / (signal + 1), signal)], ["MACD"]),
+        Level({"MACD_Histogram": line - sig, "MACD_Above_Signal": above, "MACD_Crossover": above - prev(above)}),
+    ])
 
 
-def _macd_rest(df: DataFrame, signal: int) -> DataFrame:
-    line = df.withColumn("MACD", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    out = smooth(line, [ema("MACD_Signal", "MACD", 2 / (signal + 1), signal)], ["MACD"])
-    out = out.withColumns({
-        "MACD_Histogram": F.col("MACD") - F.col("MACD_Signal"),
-        "MACD_Above_Signal": flag(F.col("MACD") > F.col("MACD_Signal")),
-    })
-    return out.withColumn("MACD_Crossover", F.col("MACD_Above_Signal") - prev("MACD_Above_Signal"))
+def macd(panel: DataFrame, fast=12, slow=26, signal=9) -> DataFrame:
+    return apply(panel, macd_levels(fast, slow, signal))
 
 
-def macd(panel: DataFrame, fast=12, slow=26, signal=9) -> DataFrame:
-    return _macd_rest(smooth(panel, _macd_base(fast, slow), ["close"]), signal)
+def ichimoku_levels(tenkan=9, kijun=26, senkou_b=52, displacement=26) -> Indicator:
+    def middle(n):
+        return (rolling_max("high", n) + rolling_min("low", n)) / 2
+
+    t, k, close = F.col("Ichimoku_Tenkan"), F.col("Ichimoku_Kijun"), F.col("close")
+    a, b = F.col("Ichimoku_Senkou_A"), F.col("Ichimoku_Senkou_B")
+    return Indicator([
+        Level({"Ichimoku_Tenkan": middle(tenkan), "Ichimoku_Kijun": middle(kijun), "_wide": middle(senkou_b)}),
+        Level({
+            "Ichimoku_Senkou_A": prev((t + k) / 2, displacement), "Ichimoku_Senkou_B": prev("_wide", displacement),
+            "Ichimoku_Chikou": ahead("close", displacement), "Ichimoku_Tenkan_Above_Kijun": flag(t > k),
+        }),
+        Level({
+            "Ichimoku_Price_Above_Cloud": flag(close > both(a, b, F.greatest)),
+            "Ichimoku_Price_Below_Cloud": flag(close < both(a, b, F.least)),
+            "Ichimoku_Cloud_Green": flag(a > b), "Ichimoku_Cloud_Thickness": F.abs(a - b),
+        }),
+    ])
 
 
 def ichimoku(panel: DataFrame, tenkan=9, kijun=26, senkou_b=52, displacement=26) -> DataFrame:
     """Ichimoku_Chikou looks ahead by ``displacement`` rows; training sets leave it out."""
+    return apply(panel, ichimoku_levels(tenkan, kijun, senkou_b, displacement))
 
-    def middle(n):
-        return (rolling_max("high", n) + rolling_min("low", n)) / 2
 
-    mids = panel.withColumns({
-        "Ichimoku_Tenkan": middle(tenkan), "Ichimoku_Kijun": middle(kijun), "_wide": middle(senkou_b),
-    })
-    spans = mids.withColumns({
-        "Ichimoku_Senkou_A": prev((F.col("Ichimoku_Tenkan") + F.col("Ichimoku_Kijun")) / 2, displacement),
-        "Ichimoku_Senkou_B": prev("_wide", displacement),
-        "Ichimoku_Chikou": ahead("close", displacement),
-    }).drop("_wide")
-    a, b, close = F.col("Ichimoku_Senkou_A"), F.col("Ichimoku_Senkou_B"), F.col("close")
-    return spans.withColumns({
-        "Ichimoku_Tenkan_Above_Kijun": flag(F.col("Ichimoku_Tenkan") > F.col("Ichimoku_Kijun")),
-        "Ichimoku_Price_Above_Cloud": flag(close > both(a, b, F.greatest)),
-        "Ichimoku_Price_Below_Cloud": flag(close < both(a, b, F.least)),
-        "Ichimoku_Cloud_Green": flag(a > b),
-        "Ichimoku_Cloud_Thickness": F.abs(a - b),
-    })
+def trend_levels() -> list[Indicator]:
+    return [sma_levels(), ema_levels(), macd_levels(), ichimoku_levels()]
 
 
 def trend(panel: DataFrame) -> DataFrame:
-    """All trend columns; every EMA of the close is computed in one smoothing step."""
-    columns = panel.columns
-    step = smooth(sma(panel), _ema_items(AVERAGE_PERIODS) + _macd_base(12, 26), ["close"])
-    out = ichimoku(_macd_rest(step, 9))
-    return out.select(*columns, *[c for c in out.columns if c not in columns])
-
-
+    return apply(panel, *trend_levels())

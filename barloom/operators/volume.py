@@ -11,28 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.smoothing import adjusted_ema, smooth
+from ..functions.smoothing import adjusted_ema
+from ..functions.staging import Indicator, Level, apply
 from ..functions.windows import (
     both, flag, history, last_rows, prev, ratio, relative_change, rolling, rolling_max, rolling_mean, rolling_min,
     rolling_std, running_sum,
 )
 
 
-def _level_columns(df: DataFrame, base: str, prefix: str) -> DataFrame:
+def _line_levels(base: str, prefix: str) -> list[Level]:
     """Averages, direction and momentum shared by the cumulative lines."""
     x = F.col(base)
-    out = df.withColumns({
-        f"{prefix}_SMA_10": rolling_mean(base, 10),
-        f"{prefix}_SMA_20": rolling_mean(base, 20),
-        f"{prefix}_Rising": flag(x > prev(base)),
-        f"{prefix}_Falling": flag(x < prev(base)),
-        f"{prefix}_Momentum_5": x - prev(base, 5),
-        f"{prefix}_Momentum_10": x - prev(base, 10),
-    })
-    return out.withColumns({
-        f"{prefix}_Above_SMA_10": flag(x > F.col(f"{prefix}_SMA_10")),
-        f"{prefix}_Above_SMA_20": flag(x > F.col(f"{prefix}_SMA_20")),
-    })
+    return [
+        Level({
+            f"{prefix}_SMA_10": rolling_mean(base, 10), f"{prefix}_SMA_20": rolling_mean(base, 20),
+            f"{prefix}_Rising": flag(x > prev(base)), f"{prefix}_Falling": flag(x < prev(base)),
+            f"{prefix}_Momentum_5": x - prev(base, 5), f"{prefix}_Momentum_10": x - prev(base, 10),
+        }),
+        Level({f"{prefix}_Above_SMA_{n}": flag(x > F.col(f"{prefix}_SMA_{n}")) for n in (10, 20)}),
+    ]
 
 
 def _relative_over(col: str, h: int):
@@ -49,115 +46,138 @@ def _divergence(price_change, other_change):
     )
 
 
-def obv(panel: DataFrame) -> DataFrame:
+def obv_levels() -> Indicator:
     signed = F.when(F.col("close") < prev("close"), -F.col("volume")).otherwise(F.col("volume"))
-    out = panel.withColumn("_sv", signed)
-    out = out.withColumn("OBV", running_sum(F.col("_sv")).cast("double")).drop("_sv")
-    out = _level_columns(out, "OBV", "OBV")
-    out = out.withColumns({"_pc": relative_change("close", 5), "_oc": _relative_over("OBV", 5)})
-    return out.withColumn("OBV_Price_Divergence", _divergence(F.col("_pc"), F.col("_oc"))).drop("_pc", "_oc")
+    line, above = _line_levels("OBV", "OBV")
+    line.columns |= {"OBV_Price_Divergence": _divergence(F.col("_pc5"), _relative_over("OBV", 5))}
+    return Indicator([
+        Level({"_signed": signed, "_pc5": relative_change("close", 5)}),
+        Level({"OBV": running_sum(F.col("_signed")).cast("double")}), line, above,
+    ])
+
+
+def obv(panel: DataFrame) -> DataFrame:
+    return apply(panel, obv_levels())
+
+
+def vpt_levels() -> Indicator:
+    line, above = _line_levels("VPT", "VPT")
+    line.columns |= {f"VPT_ROC_{h}": ratio(F.col("VPT") - prev("VPT", h), prev("VPT", h)) * 100 for h in (5, 10)}
+    return Indicator([
+        Level({"_flow": relative_change("close") * F.col("volume")}), Level({"VPT": running_sum(F.col("_flow"))}), line, above,
+    ])
 
 
 def vpt(panel: DataFrame) -> DataFrame:
     """ROC columns are null where the earlier value is 0."""
-    out = panel.withColumn("_flow", relative_change("close") * F.col("volume"))
-    out = out.withColumn("VPT", running_sum(F.col("_flow"))).drop("_flow")
-    out = _level_columns(out, "VPT", "VPT")
-    return out.withColumns({
-        f"VPT_ROC_{h}": ratio(F.col("VPT") - prev("VPT", h), prev("VPT", h)) * 100 for h in (5, 10)
-    })
+    return apply(panel, vpt_levels())
 
 
-def ad_line(panel: DataFrame) -> DataFrame:
+def ad_levels() -> Indicator:
     place = F.coalesce(
-        ratio(
-            (F.col("close") - F.col("low")) - (F.col("high") - F.col("close")),
-            F.col("high") - F.col("low"),
-        ),
-        F.lit(0.0),
+        ratio((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), F.col("high") - F.col("low")), F.lit(0.0)
     )
-    out = panel.withColumn("AD_Line", running_sum(place * F.col("volume")))
-    out = _level_columns(out, "AD_Line", "AD")
-    out = smooth(out, [adjusted_ema("_ad_ema", "AD_Line", 2 / 11)], ["AD_Line"])
-    out = out.withColumn("AD_Oscillator", F.col("AD_Line") - F.col("_ad_ema")).drop("_ad_ema")
-    return out.withColumn("AD_Oscillator_Above_Zero", flag(F.col("AD_Oscillator") > 0))
+    line, above = _line_levels("AD_Line", "AD")
+    swing = F.col("AD_Line") - F.col("_ad_ema")
+    line.columns |= {"AD_Oscillator": swing, "AD_Oscillator_Above_Zero": flag(swing > 0)}
+    return Indicator([
+        Level({"AD_Line": running_sum(place * F.col("volume"))}, [adjusted_ema("_ad_ema", "AD_Line", 2 / 11)], ["AD_Line"]), line, above,
+    ])
 
 
-def volume_profile(panel: DataFrame, periods=(10, 20, 50)) -> DataFrame:
+def ad_line(panel: DataFrame) -> DataFrame:
+    return apply(panel, ad_levels())
+
+
+def profile_levels(periods=(10, 20, 50)) -> Indicator:
     v = F.col("volume")
-    out = panel.withColumns({f"Volume_MA_{n}": rolling_mean("volume", n) for n in periods})
-    return out.withColumns({
-        name: value
-        for n in periods
-        for name, value in {
-            f"Volume_Ratio_{n}": ratio(v, F.col(f"Volume_MA_{n}")),
-            f"High_Volume_{n}": flag(v > F.col(f"Volume_MA_{n}") * 1.5),
-            f"Low_Volume_{n}": flag(v < F.col(f"Volume_MA_{n}") * 0.5),
-            f"Volume_Trend_{n}": flag((v > prev("volume", n - 1)) & F.col(f"Volume_MA_{n}").isNotNull()),
-        }.items()
-    })
+    return Indicator([
+        Level({
+            name: value for n in periods for name, value in {
+                f"Volume_MA_{n}": rolling_mean("volume", n), f"_first_{n}": prev("volume", n - 1)}.items()
+        }),
+        Level({
+            name: value for n in periods for name, value in {
+                f"Volume_Ratio_{n}": ratio(v, F.col(f"Volume_MA_{n}")),
+                f"High_Volume_{n}": flag(v > F.col(f"Volume_MA_{n}") * 1.5), f"Low_Volume_{n}": flag(v < F.col(f"Volume_MA_{n}") * 0.5),
+                f"Volume_Trend_{n}": flag((v > F.col(f"_first_{n}")) & F.col(f"Volume_MA_{n}").isNotNull()),
+            }.items()
+        }),
+    ])
 
 
-def price_volume(panel: DataFrame, min_rows=20) -> DataFrame:
-    base = panel.withColumns({
-        "_pc": relative_change("close"), "_vc": relative_change("volume"),
-        "_vm": rolling_mean("volume", 10), "_enough": history() >= min_rows,
-    })
+def volume_profile(panel: DataFrame, periods=(10, 20, 50)) -> DataFrame:
+    return apply(panel, profile_levels(periods))
+
+
+def price_volume_levels(min_rows=20) -> Indicator:
+    pc, vc, enough = F.col("_pc1"), F.col("_vc1"), F.col("_enough")
+    busy = F.col("volume") > F.col("_vm10")
 
     def correlation(n):
-        pair = both("_pc", "_vc", lambda a, b: a)
+        # The correlation is spelled out: the built-in divides by zero on a flat frame.
+        pair = both(pc, vc, lambda a, b: a)
         w = last_rows(n)
-        spread = F.stddev_pop(pair).over(w) * F.stddev_pop("_vc").over(w)
-        value = F.try_divide(F.covar_pop("_pc", "_vc").over(w), spread)
-        return F.when(F.col("_enough") & (F.count(pair).over(w) == n), value)
+        spread = F.stddev_pop(pair).over(w) * F.stddev_pop(vc).over(w)
+        return F.when(enough & (F.count(pair).over(w) == n), F.try_divide(F.covar_pop(pc, vc).over(w), spread))
+
+    return Indicator([
+        Level({
+            "_pc1": relative_change("close"), "_vc1": relative_change("volume"), "_vm10": rolling_mean("volume", 10),
+            "_enough": history() >= min_rows,
+        }),
+        Level({
+            "PV_Correlation_10": correlation(10), "PV_Correlation_20": correlation(20),
+            "Volume_Confirms_Uptrend": flag(enough & (pc > 0) & busy), "Volume_Confirms_Downtrend": flag(enough & (pc < 0) & busy),
+            "Volume_Divergence": flag(enough & (((pc > 0) & (vc < 0)) | ((pc < 0) & (vc > 0)))),
+        }),
+    ])
 
-    pc, vc, busy = F.col("_pc"), F.col("_vc"), F.col("volume") > F.col("_vm")
-    enough = F.col("_enough")
-    return base.withColumns({
-        "PV_Correlation_10": correlation(10),
-        "PV_Correlation_20": correlation(20),
-        "Volume_Confirms_Uptrend": flag(enough & (pc > 0) & busy),
-        "Volume_Confirms_Downtrend": flag(enough & (pc < 0) & busy),
-        "Volume_Divergence": flag(enough & (((pc > 0) & (vc < 0)) | ((pc < 0) & (vc > 0)))),
-    }).drop("_pc", "_vc", "_vm", "_enough")
 
+def price_volume(panel: DataFrame, min_rows=20) -> DataFrame:
+    return apply(panel, price_volume_levels(min_rows))
 
-def volume_position(panel: DataFrame, window=50) -> DataFrame:
+
+def position_levels(window=50) -> Indicator:
     v = F.col("volume")
     low, high = rolling_min("volume", window), rolling_max("volume", window)
     mean, sd = rolling_mean("volume", window), rolling_std("volume", window)
-    return panel.withColumns({
-        f"Volume_Percentile_{window}": F.when(
-            low.isNotNull(), F.coalesce(ratio(v - low, high - low), F.lit(0.5))
-        ),
-        "Volume_Regime_High": flag(v > mean + sd * 2),
-        "Volume_Regime_Low": flag(v < mean - sd),
-    })
+    return Indicator([Level({
+        f"Volume_Percentile_{window}": F.when(low.isNotNull(), F.coalesce(ratio(v - low, high - low), F.lit(0.5))),
+        "Volume_Regime_High": flag(v > mean + sd * 2), "Volume_Regime_Low": flag(v < mean - sd),
+    })])
+
+
+def volume_position(panel: DataFrame, window=50) -> DataFrame:
+    return apply(panel, position_levels(window))
+
+
+def money_flow_levels(period=14) -> Indicator:
+    tp = (F.col("high") + F.col("low") + F.col("close")) / 3
+    amount, pos, neg, m = tp * F.col("volume"), F.col("_pos"), F.col("_neg"), F.col("MFI")
+    return Indicator([
+        Level({
+            "_in": F.when(tp > prev(tp), amount).otherwise(0.0), "_out": F.when(tp < prev(tp), amount).otherwise(0.0),
+            "_pc5": relative_change("close", 5),
+        }),
+        Level({"_pos": rolling(F.sum, "_in", period), "_neg": rolling(F.sum, "_out", period)}),
+        Level({"MFI": F.when(neg == 0, F.when(pos > 0, 100.0)).otherwise(100 - 100 / (1 + ratio(pos, neg)))}),
+        Level({
+            "MFI_Overbought": flag(m > 80), "MFI_Oversold": flag(m < 20), "MFI_Neutral": flag(m.between(20, 80)),
+            "MFI_Rising": flag(m > prev("MFI")), "MFI_Falling": flag(m < prev("MFI")),
+            "MFI_Momentum_5": m - prev("MFI", 5), "MFI_Momentum_10": m - prev("MFI", 10),
+            "MFI_Price_Divergence": _divergence(F.col("_pc5"), _relative_over("MFI", 5)),
+        }),
+    ])
 
 
 def money_flow(panel: DataFrame, period=14) -> DataFrame:
-    base = panel.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    amount, then = F.col("_tp") * F.col("volume"), prev("_tp")
-    base = base.withColumns({
-        "_in": F.when(F.col("_tp") > then, amount).otherwise(0.0),
-        "_out": F.when(F.col("_tp") < then, amount).otherwise(0.0),
-    })
-    base = base.withColumns({"_pos": rolling(F.sum, "_in", period), "_neg": rolling(F.sum, "_out", period)})
-    pos, neg = F.col("_pos"), F.col("_neg")
-    out = base.withColumn(
-        "MFI",
-        F.when(neg == 0, F.when(pos > 0, 100.0)).otherwise(100 - 100 / (1 + ratio(pos, neg))),
-    ).drop("_tp", "_in", "_out", "_pos", "_neg")
-    m = F.col("MFI")
-    out = out.withColumns({
-        "MFI_Overbought": flag(m > 80), "MFI_Oversold": flag(m < 20),
-        "MFI_Neutral": flag(m.between(20, 80)),
-        "MFI_Rising": flag(m > prev("MFI")), "MFI_Falling": flag(m < prev("MFI")),
-        "MFI_Momentum_5": m - prev("MFI", 5), "MFI_Momentum_10": m - prev("MFI", 10),
-        "_pc": relative_change("close", 5), "_mc": _relative_over("MFI", 5),
-    })
-    return out.withColumn("MFI_Price_Divergence", _divergence(F.col("_pc"), F.col("_mc"))).drop("_pc", "_mc")
+    return apply(panel, money_flow_levels(period))
+
+
+def volume_levels() -> list[Indicator]:
+    return [obv_levels(), vpt_levels(), ad_levels(), profile_levels(), price_volume_levels(), position_levels(), money_flow_levels()]
 
 
 def volume(panel: DataFrame) -> DataFrame:
-    return money_flow(volume_position(price_volume(volume_profile(ad_line(vpt(obv(panel)))))))
+    return apply(panel, *volume_levels())

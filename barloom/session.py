@@ -16,6 +16,9 @@ def local_session(cores: str | None = None, partitions: int = 8, checkpoint_dir:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Wide panels make generated methods too large for the JIT; they run better unfused.
+        .config("spark.sql.codegen.maxFields", "40")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
