@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import byte_bpe
+from barloom.llm import byte_bpe, html_text, order_minhash
+from barloom.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,9 +24,19 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 @query("op8_byte_bpe")
 def op8(spark, folder):
     return byte_bpe.digests(table(spark, folder, "documents"))
+
+
+@query("op6_order_minhash")
+def op6(spark, folder):
+    return order_minhash.with_next(table(spark, folder, "documents"))
+
+
+@query("op10_html_text")
+def op10(spark, folder):
+    return html_text.extract_pages(table(spark, folder, "pages"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import byte_bpe
+from barloom.llm.workers import reachable
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return byte_bpe.digests(docs)
 
 
