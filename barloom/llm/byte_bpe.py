@@ -27,7 +27,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters that one call of the library gets at most, unless a single text has more.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 #: White space beside white space, and the places between matches for texts that have it.
 TWO_SPACES = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
@@ -63,7 +63,7 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
         for cut in range(1, len(token))
         if token[:cut] in vocab and token[cut:] in vocab
     ]
-    model = Tokenizer(models.BPE(vocab, merges, cache_capacity=50_000))
+    model = Tokenizer(models.BPE(vocab, merges, cache_capacity=0))
     model.pre_tokenizer = pre_tokenizers.Sequence(
         [
             pre_tokenizers.Split(Regex(pattern), "isolated"),
@@ -94,9 +94,10 @@ class UnitEncoder:
     space before a word; there a text can be cut, and the units have the ids they have in the whole text.
     """
 
-    def __init__(self, path: str, pattern: str, entries: int = 600_000, unit_chars: int = 40):
+    def __init__(self, path: str, pattern: str, entries: int = 1_000_000, unit_chars: int = 40):
         self.path, self.pattern, self.entries, self.unit_chars = path, pattern, entries, unit_chars
         self.known: dict[str, bytes] = {}
+        self.lengths = np.array([len(token) for token in tokens(path)])
 
     def units(self, text: str) -> list[str]:
         if TWO_SPACES.search(text):
@@ -104,22 +105,42 @@ class UnitEncoder:
         first, *rest = text.split(" ")
         return [first, *[" " + part for part in rest]]
 
+    def coded(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each unit with its ids. Units that may stand side by side go through the library as one text."""
+        side, alone = [], []
+        for unit in units:
+            joins = len(unit) > 1 and unit[0] == " " and not unit[1].isspace() and not unit[-1].isspace()
+            (side if joins else alone).append(unit)
+        for unit, found in zip(alone, encode_texts(alone, self.path, self.pattern)):
+            yield unit, np.array(found.ids, dtype="<u4").tobytes()
+        if side:
+            found = next(iter(encode_texts(["".join(side)], self.path, self.pattern)))
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(unit.encode()) for unit in side])) + 1
+            joined, start = ids.tobytes(), 0
+            for unit, stop in zip(side, (4 * cuts).tolist()):
+                yield unit, joined[start:stop]
+                start = stop
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for text in texts:
-            units = self.units(text)
+        start = 0
+        while start < len(texts):
+            parts, chars, new = [], 0, set()
+            while start < len(texts) and chars < CHUNK_CHARS:
+                parts.append(self.units(texts[start]))
+                new.update(parts[-1])
+                chars += len(texts[start])
+                start += 1
             known = self.known
             if len(known) > self.entries:
                 known.clear()
-            long = {}
-            new = list(set(units).difference(known))
-            for unit, found in zip(new, encode_texts(new, self.path, self.pattern)):
-                coded = np.array(found.ids, dtype="<u4").tobytes()
-                (known if len(unit) <= self.unit_chars else long)[unit] = coded
-            if long:
-                yield b"".join([known[u] if u in known else long[u] for u in units])
-            else:
-                yield b"".join([known[u] for u in units])
+            known.update(self.coded(list(new.difference(known))))
+            yield from (b"".join([known[u] for u in units]) for units in parts)
+            for unit in new:
+                if len(unit) > self.unit_chars:
+                    known.pop(unit, None)
 
 
 @functools.cache
