@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import byte_bpe, html_text, order_minhash, setsketch
+from barloom.llm import byte_bpe, html_text, order_minhash, repeated_passages, setsketch
 from barloom.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op10(spark, folder):
     return html_text.extract_pages(table(spark, folder, "pages"))
 
 
+@query("op1_repeated_passages")
+def op1(spark, folder):
+    return repeated_passages.digests(table(spark, folder, "documents"))
+
+
 @query("op5_setsketch")
 def op5(spark, folder):
     return setsketch.near_duplicates(table(spark, folder, "documents"), size=2)
