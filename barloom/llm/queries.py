@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import byte_bpe, html_text, order_minhash, repeated_passages, setsketch
+from barloom.llm import byte_bpe, compression_toxicity, html_text, order_minhash, repeated_passages, setsketch
 from barloom.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op1(spark, folder):
 @query("op5_setsketch")
 def op5(spark, folder):
     return setsketch.near_duplicates(table(spark, folder, "documents"), size=2)
+
+
+@query("op4_compression_toxicity")
+def op4(spark, folder):
+    return compression_toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
