@@ -7,7 +7,7 @@ similarity is estimated jointly, by the likelihood of how many registers are lar
 set sizes; pairs that may reach the threshold are confirmed on the full sets of their texts.
 
 Documents with the same set are one class, whose smallest doc_id stands for it. In a bucket, classes are first
-compared with the smallest one only. Links then join components, and only members of different components
+compared with one hub only, the class that shares most buckets. Links then join components, and only members of different components
 are compared further, with a growing number of others until all such pairs have been: no pair inside a
 component is made twice, and none across components is left out.
 
@@ -37,7 +37,7 @@ BASE, RATE = 1.02, 20.0
 #: A pair is confirmed on its texts if its estimate is not below the threshold by more: six deviations.
 MARGIN = 0.25
 #: Growth of the number of members that each member of a bucket is compared with.
-GROWTH = 64
+GROWTH = 16
 
 FACTORS = np.random.default_rng(71).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Values hashed at a time.
@@ -168,9 +168,16 @@ def links(docs: DataFrame, sketched: DataFrame, size: int, threshold: float) ->
         reps.select(F.col("doc_id").alias("rep"), "h1", "h2", "n_shingles", "sketch").dropDuplicates(["h1", "h2"]), "reps"
     )
     pieces = F.array(*[F.substring("sketch", 2 * BAND * i + 1, 2 * BAND) for i in range(BANDS)])
-    rows = reps.select("rep", F.posexplode(pieces).alias("band", "key"))
-    buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    members = materialise(rows.join(buckets.drop("last"), ["band", "key"]), "buckets")
+    rows = reps.select("rep", "n_shingles", F.posexplode(pieces).alias("band", "key"))
+    shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = materialise(rows.join(shared, ["band", "key"]), "bands")
+    # The member that shares most buckets with most others is likeliest to be near all of them.
+    rank = F.struct("shared", (-F.col("rep")).alias("rep"))
+    ranked = rows.join(rows.groupBy("rep").agg(F.sum("n").alias("shared")), "rep").withColumn("rank", rank)
+    hubs_of = ranked.groupBy("band", "key").agg(F.max("rank").alias("top"))
+    members = materialise(
+        ranked.drop("rank", "shared").join(hubs_of, ["band", "key"]).withColumn("hub", -F.col("top.rep")), "buckets"
+    )
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def decide(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,9 +185,9 @@ def links(docs: DataFrame, sketched: DataFrame, size: int, threshold: float) ->
         likely = materialise(_likely(pairs, reps, threshold), "likely")
         return pairs, materialise(_confirmed(likely.distinct(), texts, size, threshold).distinct(), "links")
 
-    # First each class with the smallest hub of its buckets, then with its other hubs, then as the buckets still need.
-    least = members.where("hub < rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    done, edges = decide(least)
+    # First each class with the leading hub of its buckets, then with its other hubs, then as the buckets still need.
+    leading = members.where("hub <> rep").groupBy("rep").agg(F.max("top").alias("top")).select("rep", (-F.col("top.rep")).alias("hub"))
+    done, edges = decide(leading.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")))
     hubs, total = 0, None
     while True:
         labels = components(edges)
@@ -198,10 +205,12 @@ def links(docs: DataFrame, sketched: DataFrame, size: int, threshold: float) ->
             left = placed.join(open_, ["band", "key"])
             chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
             chosen = left.where(chance * F.col("n") < hubs)
-        one = chosen.select("band", "key", F.col("rep").alias("x"), F.col("component").alias("cx"))
+        one = chosen.select("band", "key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))
         other = placed.join(open_.select("band", "key"), ["band", "key"], "left_semi")
-        other = other.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"))
-        pairs = one.join(other, ["band", "key"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        other = other.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"))
+        # Sets whose sizes differ by more than the threshold allows cannot reach it.
+        possible = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= round(threshold * 100) * F.greatest("nx", "ny"))
+        pairs = one.join(other, ["band", "key"]).where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = pairs.join(done, ["a", "b"], "left_anti")
         tried, found = decide(pairs)
         total = total if total is not None else open_.agg(F.max("n")).first()[0] or 0
