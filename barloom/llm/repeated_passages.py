@@ -73,6 +73,13 @@ class Blocks:
         shape = mixed((self.place - self.start).astype(np.uint64) * MIX + size.astype(np.uint64))
         self.block = mixed(self.hashed(self.start, size) ^ shape)
 
+    def once(self) -> np.ndarray:
+        """The first of equal blocks of a text; a text that goes round in a circle has very many."""
+        order = np.lexsort((self.block, self.anchor, self.text))
+        same = np.zeros(len(order), dtype=bool)
+        same[1:] = (np.diff(self.text[order]) == 0) & (np.diff(self.anchor[order]) == 0) & (np.diff(self.block[order]) == 0)
+        return np.sort(order[~same])
+
     def hashed(self, start: np.ndarray, size) -> np.ndarray:
         """Hashes of the word sequences of that size from those starts on."""
         return mixed((self.sums[start + size] - self.sums[start]) * self.down[start])
@@ -100,7 +107,7 @@ def _kind(docs: DataFrame) -> str:
 
 
 def blocks(docs: DataFrame, window: int) -> DataFrame:
-    """anchor, block, doc_id, place (the anchor's first word) of every block."""
+    """anchor, block, doc_id, place (the anchor's first word) of every distinct block of a text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -108,12 +115,14 @@ def blocks(docs: DataFrame, window: int) -> DataFrame:
             ids = frame["doc_id"].to_numpy()
             for start, stop in chunks(texts):
                 b = Blocks(texts[start:stop], window)
+                once = b.once()
+                text = b.text[once]
                 yield pd.DataFrame(
                     {
-                        "anchor": b.anchor.view(np.int64),
-                        "block": b.block.view(np.int64),
-                        "doc_id": ids[start:stop][b.text],
-                        "place": (b.place - b.starts[b.text]).astype(np.int32),
+                        "anchor": b.anchor[once].view(np.int64),
+                        "block": b.block[once].view(np.int64),
+                        "doc_id": ids[start:stop][text],
+                        "place": (b.place[once] - b.starts[text]).astype(np.int32),
                     }
                 )
 
@@ -144,7 +153,11 @@ def automaton(phrases: set[tuple[int, ...]]) -> ahocorasick.Automaton:
 
 
 def located(texts: pd.DataFrame, known: pd.DataFrame, window: int) -> Iterator[tuple]:
-    """Occurrences of a shard's recurring phrases: doc_id, copy, anchor, block, start, last, first, windows."""
+    """Occurrences of a shard's recurring phrases: doc_id, copy, anchor, block, starts, at, windows.
+
+    A row is a block of a text with all its starts. at numbers the windows that repeat; it is null where the phrase has
+    several classes, and windows then holds the hashes of the first document of each.
+    """
     if not len(known) or not len(texts):
         return
     b = Blocks(texts["text"].tolist(), window)
@@ -171,28 +184,27 @@ def located(texts: pd.DataFrame, known: pd.DataFrame, window: int) -> Iterator[t
             ends = [end for end, _ in machine.iter(words)]
             hit[starts[row] + np.array(ends, dtype=np.int64) - (PHRASE - 1)] = True
     ids, copies = texts["doc_id"].tolist(), texts["copy"].tolist()
+    found: dict[tuple, list[int]] = {}
     for i in np.flatnonzero(hit[b.place]).tolist():
-        key = int(b.anchor[i].view(np.int64)), int(b.block[i].view(np.int64))
-        if key not in classes:
+        key = int(b.text[i]), int(b.anchor[i].view(np.int64)), int(b.block[i].view(np.int64))
+        if key[1:] in classes:
+            found.setdefault(key, []).append(i)
+    for (row, *key), places in found.items():
+        first, many = classes[tuple(key)]
+        if not many and first >= ids[row]:
             continue
-        first, many = classes[key]
-        row = int(b.text[i])
-        start, last = int(b.start[i]), int(b.last[i])
-        windows = None
-        if many and ids[row] == first:
-            windows = b.hashed(np.arange(start, last + 1), window).view(np.int64).tolist()
-        if many or first < ids[row]:
-            decided = None if many else first
-            yield ids[row], copies[row], *key, start - starts[row], last - starts[row], decided, windows
+        begin = (b.start[places] - starts[row]).tolist()
+        at = np.arange(b.last[places[0]] - b.start[places[0]] + 1)
+        windows = b.hashed(b.start[places[0]] + at, window).view(np.int64).tolist() if many and ids[row] == first else None
+        yield ids[row], copies[row], *key, begin, None if many else at.tolist(), windows
 
 
 def occurrences(docs: DataFrame, phrases: DataFrame, window: int, shards: int) -> DataFrame:
     kind = _kind(docs)
-    names = ["doc_id", "copy", "anchor", "block", "start", "last", "first", "windows"]
+    names = ["doc_id", "copy", "anchor", "block", "starts", "at", "windows"]
 
     def run(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(located(texts, known, window)), columns=names)
-        return out.astype({"first": "Int64"})
+        return pd.DataFrame(list(located(texts, known, window)), columns=names)
 
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("copy"), shard_of(shards).alias("shard"))
     return (
@@ -200,22 +212,19 @@ def occurrences(docs: DataFrame, phrases: DataFrame, window: int, shards: int) -
         .cogroup(phrases.groupBy("shard"))
         .applyInPandas(
             run,
-            f"doc_id {kind}, copy long, anchor long, block long, start int, last int, first {kind}, windows array<long>",
+            f"doc_id {kind}, copy long, anchor long, block long, starts array<int>, at array<int>, windows array<long>",
         )
     )
 
 
 def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, copy (hash of the text), spans: the words [start, stop) that repeat earlier documents."""
+    """doc_id, copy (hash of the text), starts, at: windows that repeat earlier documents, as lists of sums."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     found = materialise(blocks(texts, window), "blocks")
     shards = max(1, -(-found.count() // SHARD_BLOCKS))
     all_of = materialise(occurrences(texts, recurring(found, shards), window, shards), "occurrences")
 
-    length = F.lit(window)
-    direct = all_of.where("first < doc_id").select(
-        "doc_id", "copy", F.struct(F.col("start"), (F.col("last") + length).alias("stop")).alias("span")
-    )
+    direct = all_of.where("at is not null").select("doc_id", "copy", "starts", "at")
     # Windows of phrases with several classes: the first document of each window, then of each class's windows.
     each = all_of.where("windows is not null").dropDuplicates(["anchor", "block"])
     each = materialise(each.select("anchor", "block", "doc_id", F.posexplode("windows").alias("at", "hash")), "windows")
@@ -223,46 +232,42 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     by_class = each.join(firsts, ["anchor", "hash"]).groupBy("anchor", "block").agg(
         F.collect_list(F.struct("at", firsts["first"])).alias("windows")
     )
-    open_ = all_of.where("first is null").select("doc_id", "copy", "anchor", "block", "start")
-    told = open_.join(by_class, ["anchor", "block"]).select(
-        "doc_id",
-        "copy",
-        F.explode(F.filter("windows", lambda w: w["first"] < F.col("doc_id"))).alias("w"),
-        "start",
-    )
-    begin = F.col("start") + F.col("w.at")
-    indirect = told.select("doc_id", "copy", F.struct(begin.alias("start"), (begin + length).alias("stop")).alias("span"))
-    spans = direct.union(indirect).groupBy("doc_id", "copy")
-    return spans.agg(F.collect_list("span").alias("spans"))
+    open_ = all_of.where("at is null").select("doc_id", "copy", "anchor", "block", "starts")
+    earlier = F.filter("windows", lambda w: w["first"] < F.col("doc_id"))
+    told = open_.join(by_class, ["anchor", "block"]).select("doc_id", "copy", "starts", earlier["at"].alias("at"))
+    spans = direct.union(told.where("size(at) > 0")).groupBy("doc_id", "copy")
+    return spans.agg(F.collect_list("starts").alias("starts"), F.collect_list("at").alias("at"))
 
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) of every row."""
-    return _finished(docs, repeats(docs, window), "kept string", lambda kept: kept.decode("utf-8", "replace"))
+    return _finished(docs, window, "kept string", lambda kept: kept.decode("utf-8", "replace"))
 
 
 def digests(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    return _finished(docs, repeats(docs, window), "kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest())
+    return _finished(docs, window, "kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest())
 
 
-def _finished(docs: DataFrame, spans: DataFrame, column: str, shown) -> DataFrame:
+def _finished(docs: DataFrame, window: int, column: str, shown) -> DataFrame:
     name = column.split()[0]
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64("text").alias("copy"))
-    joined = texts.join(spans, ["doc_id", "copy"], "left").select(
-        "doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")
+    joined = texts.join(repeats(docs, window), ["doc_id", "copy"], "left").select(
+        "doc_id", "text", "starts", "at"
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc_id, text, starts, stops in zip(frame["doc_id"], frame["text"], frame["starts"], frame["stops"]):
+            for doc_id, text, starts, at in zip(frame["doc_id"], frame["text"], frame["starts"], frame["at"]):
                 words = text.encode().split()
                 kept = words
                 if starts is not None:
                     edges = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(edges, starts, 1)
-                    np.add.at(edges, stops, -1)
+                    for some, windows in zip(starts, at):
+                        begin = np.add.outer(some, windows).ravel()
+                        np.add.at(edges, begin, 1)
+                        np.add.at(edges, begin + window, -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
                 out.append((doc_id, len(words), len(words) - len(kept), shown(b" ".join(kept))))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", name])
