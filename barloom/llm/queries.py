@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import byte_bpe, compression_toxicity, html_text, order_minhash, repeated_passages, setsketch
+from barloom.llm import byte_bpe, compression_toxicity, html_text, order_minhash
+from barloom.llm import projection_trees, repeated_passages, setsketch
 from barloom.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +53,11 @@ def op5(spark, folder):
     return setsketch.near_duplicates(table(spark, folder, "documents"), size=2)
 
 
+@query("op3_projection_trees")
+def op3(spark, folder):
+    return projection_trees.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op4_compression_toxicity")
 def op4(spark, folder):
     return compression_toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
