@@ -35,6 +35,8 @@ LEAF, ROUTED = 256, 20_000
 #: Sampled vectors per label at most, for the splits that route.
 SAMPLE = 20_000
 REACH = 2.0
+#: More than a routed leaf has small leaves.
+LEAVES = 1 << 24
 DEPTH = 40
 
 
@@ -125,46 +127,42 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def compared(frame: pd.DataFrame, tree: int, threshold: float, rows: int = 2048) -> pd.DataFrame:
-    """vec_id, n_links (links that no earlier tree or leaf counts), low (smallest linked vec_id here) of a routed leaf."""
+def cut(frame: pd.DataFrame, tree: int, threshold: float) -> pd.DataFrame:
+    """vec_id, tree, leaf: the small leaves of what reached a routed leaf."""
+    frame = frame.sort_values("vec_id").reset_index(drop=True)
+    points, node = _matrix(frame["v"]), int(frame["node"].iat[0])
+    margin = overlap(threshold, points.shape[1])
+    found = list(splits(points, np.arange(len(frame)), tree * 7919 + node + 1, LEAF, margin))
+    rows = np.concatenate([rows for _, rows in found])
+    numbers = np.repeat(np.arange(len(found)), [len(rows) for _, rows in found])
+    return pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[rows], "tree": tree, "leaf": node * LEAVES + numbers})
+
+
+def compared(frame: pd.DataFrame, tree: int, leaf: int, threshold: float, rows: int = 2048) -> pd.DataFrame:
+    """vec_id, n_links (links that no earlier tree or leaf counts), low (smallest linked vec_id here) of a leaf."""
     frame = frame.sort_values("vec_id").reset_index(drop=True)
     points = _matrix(frame["v"])
     ids, copies = frame["vec_id"].to_numpy(), frame["copies"].to_numpy()
     counts = np.zeros(len(frame), dtype=np.int64)
     edges_a, edges_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    earlier = [_padded(frame["leaves"], t) for t in range(tree)]
-    same = _padded(frame["leaves"], tree)
-    node = int(frame["node"].iat[0])
-    margin = overlap(threshold, points.shape[1])
-    inner: list[list[int]] = [[] for _ in range(len(frame))]
-    leaves = [found for _, found in splits(points, np.arange(len(frame)), tree * 7919 + node + 1, LEAF, margin)]
-    for number, leaf in enumerate(leaves):
-        for r in leaf.tolist():
-            inner[r].append(number)
-    inside = _wide(inner)
-    for number, leaf in enumerate(leaves):
-        for start in range(0, len(leaf), rows):
-            part = leaf[start : start + rows]
-            i, j = np.nonzero(points[part] @ points[leaf].T >= threshold - 1e-9)
-            a, b = part[i], leaf[j]
-            keep = a < b
-            a, b = a[keep], b[keep]
-            if not len(a):
-                continue
-            exact = np.einsum("ij,ij->i", points[a], points[b]) >= threshold
-            a, b = a[exact], b[exact]
-            fresh = first_common(inside, a, b) == number
-            fresh &= first_common(same, a, b) == node
-            for sets in earlier:
-                fresh &= first_common(sets, a, b) < 0
-            a, b = a[fresh], b[fresh]
-            np.add.at(counts, a, copies[b])
-            np.add.at(counts, b, copies[a])
-            # A spanning forest is enough for the components.
-            low = roots(len(frame), a, b)
-            linked = np.flatnonzero(low != np.arange(len(frame)))
-            edges_a.append(linked)
-            edges_b.append(low[linked])
+    placed = [_wide([[p["leaf"] for p in found if p["tree"] == t] for found in frame["places"]]) for t in range(tree + 1)]
+    for start in range(0, len(frame), rows):
+        a, b = np.nonzero(points[start : start + rows] @ points.T >= threshold - 1e-9)
+        a = a + start
+        a, b = a[a < b], b[a < b]
+        exact = np.einsum("ij,ij->i", points[a], points[b]) >= threshold
+        a, b = a[exact], b[exact]
+        fresh = first_common(placed[tree], a, b) == leaf
+        for sets in placed[:tree]:
+            fresh &= first_common(sets, a, b) < 0
+        a, b = a[fresh], b[fresh]
+        np.add.at(counts, a, copies[b])
+        np.add.at(counts, b, copies[a])
+        # A spanning forest is enough for the components.
+        low = roots(len(frame), a, b)
+        linked = np.flatnonzero(low != np.arange(len(frame)))
+        edges_a.append(linked)
+        edges_b.append(low[linked])
     low = roots(len(frame), np.concatenate(edges_a), np.concatenate(edges_b))
     found = (counts > 0) | (low != np.arange(len(frame)))
     return pd.DataFrame({"vec_id": ids[found], "n_links": counts[found], "low": ids[low[found]]})
@@ -178,10 +176,6 @@ def _wide(lists) -> np.ndarray:
     return out
 
 
-def _padded(leaves: pd.Series, tree: int) -> np.ndarray:
-    return _wide([list(found[tree]) for found in leaves])
-
-
 def first_common(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest number in both rows' sets, -1 if none."""
     best = np.full(len(a), np.iinfo(np.int64).max)
@@ -248,14 +242,22 @@ def links(classes: DataFrame, threshold: float, trees: int = TREES) -> DataFrame
         ),
         "routed",
     )
-    placed = routed.select("*", F.posexplode("leaves").alias("tree", "nodes")).withColumn("node", F.explode("nodes"))
+    reached = routed.select("*", F.posexplode("leaves").alias("tree", "nodes")).withColumn("node", F.explode("nodes"))
 
-    def leaf(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return compared(frame, int(key[0]), threshold)
+    def cut_leaf(key, frame: pd.DataFrame) -> pd.DataFrame:
+        return cut(frame, int(key[0]), threshold)
 
-    return placed.drop("nodes").groupBy("tree", "label", "size", "node").applyInPandas(
-        leaf, f"vec_id {kind}, n_links long, low {kind}"
-    )
+    cuts = reached.drop("nodes", "leaves").groupBy("tree", "label", "size", "node")
+    cuts = cuts.applyInPandas(cut_leaf, f"vec_id {kind}, tree int, leaf long")
+    places = cuts.groupBy("vec_id").agg(F.collect_list(F.struct("tree", "leaf")).alias("places"))
+    placed = materialise(routed.drop("leaves").join(places, "vec_id"), "placed")
+
+    def compare_leaf(key, frame: pd.DataFrame) -> pd.DataFrame:
+        return compared(frame, int(key[0]), int(key[3]), threshold)
+
+    in_leaves = placed.withColumn("at", F.explode("places")).select("*", "at.tree", "at.leaf").drop("at")
+    in_leaves = in_leaves.groupBy("tree", "label", "size", "leaf")
+    return in_leaves.applyInPandas(compare_leaf, f"vec_id {kind}, n_links long, low {kind}")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES) -> DataFrame:
