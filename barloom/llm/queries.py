@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import byte_bpe, compression_toxicity, html_text, order_minhash
-from barloom.llm import projection_trees, repeated_passages, setsketch
+from barloom.llm import projection_trees, repeated_passages, setsketch, source_mix
 from barloom.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op3(spark, folder):
 @query("op4_compression_toxicity")
 def op4(spark, folder):
     return compression_toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_source_mix", source_mix.ORACLE)
+def op7(spark, folder):
+    return source_mix.mixed(table(spark, folder, "documents"))
