@@ -176,7 +176,7 @@ def links(docs: DataFrame, sketched: DataFrame, size: int, threshold: float) ->
     ranked = rows.join(rows.groupBy("rep").agg(F.sum("n").alias("shared")), "rep").withColumn("rank", rank)
     hubs_of = ranked.groupBy("band", "key").agg(F.max("rank").alias("top"))
     members = materialise(
-        ranked.drop("rank", "shared").join(hubs_of, ["band", "key"]).withColumn("hub", -F.col("top.rep")), "buckets"
+        ranked.drop("rank", "shared", "n").join(hubs_of, ["band", "key"]).withColumn("hub", -F.col("top.rep")), "buckets"
     )
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
