@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import byte_bpe, compression_toxicity, html_text, order_minhash
+from barloom.llm import byte_bpe, compression_toxicity, html_text, licence_rules, line_templates, order_minhash
 from barloom.llm import projection_trees, repeated_passages, setsketch, source_mix
 from barloom.llm.workers import reachable
 
@@ -66,3 +66,13 @@ def op4(spark, folder):
 @query("op7_source_mix", source_mix.ORACLE)
 def op7(spark, folder):
     return source_mix.mixed(table(spark, folder, "documents"))
+
+
+@query("op2_line_templates", line_templates.ORACLE)
+def op2(spark, folder):
+    return line_templates.digests(table(spark, folder, "documents"))
+
+
+@query("op9_licence_rules", licence_rules.oracle())
+def op9(spark, folder):
+    return licence_rules.scan(table(spark, folder, "documents"))
