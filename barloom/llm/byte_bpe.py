@@ -205,6 +205,29 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary
     return chosen.mapInArrow(run, f"key {kind}, bytes binary, text string").withColumnRenamed("key", key)
 
 
+def tokenised(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str | None = None
+) -> DataFrame:
+    """key, n_tokens, ids, same: the ids of every text, and whether they decode to its bytes."""
+    path, pattern = vocabulary, pattern or public_tokenizers.PATTERN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, encoder, table = batch.column(1).to_pylist(), unit_encoder(_path(path), pattern), _path(path)
+            ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in encoder.ids(texts)]
+            same = [decode_ids(x.tolist(), table) == t.encode() for x, t in zip(ids, texts)]
+            counts = np.array([len(x) for x in ids], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
+                ["key", "n_tokens", "ids", "same"],
+            )
+
+    kind = docs.schema[key].dataType.simpleString()
+    chosen = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = chosen.mapInArrow(run, f"key {kind}, n_tokens long, ids array<int>, same boolean")
+    return out.withColumnRenamed("key", key)
+
+
 def digests(
     docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str | None = None
 ) -> DataFrame:
