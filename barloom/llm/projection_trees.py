@@ -37,6 +37,8 @@ SAMPLE = 20_000
 REACH = 2.0
 #: More than a routed leaf has small leaves.
 LEAVES = 1 << 24
+#: More than a tree has leaves.
+FOREST = 1 << 56
 DEPTH = 40
 
 
@@ -128,41 +130,44 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cut(frame: pd.DataFrame, tree: int, threshold: float) -> pd.DataFrame:
-    """vec_id, tree, leaf: the small leaves of what reached a routed leaf."""
+    """vec_id, leaf: the small leaves of what reached a routed leaf. Leaves are numbered through all trees."""
     frame = frame.sort_values("vec_id").reset_index(drop=True)
     points, node = _matrix(frame["v"]), int(frame["node"].iat[0])
     margin = overlap(threshold, points.shape[1])
     found = list(splits(points, np.arange(len(frame)), tree * 7919 + node + 1, LEAF, margin))
     rows = np.concatenate([rows for _, rows in found])
     numbers = np.repeat(np.arange(len(found)), [len(rows) for _, rows in found])
-    return pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[rows], "tree": tree, "leaf": node * LEAVES + numbers})
+    return pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[rows], "leaf": tree * FOREST + node * LEAVES + numbers})
 
 
-def compared(frame: pd.DataFrame, tree: int, leaf: int, threshold: float, rows: int = 2048) -> pd.DataFrame:
-    """vec_id, n_links (links that no earlier tree or leaf counts), low (smallest linked vec_id here) of a leaf."""
+def compared(frame: pd.DataFrame, leaf: int, threshold: float, rows: int = 2048) -> pd.DataFrame:
+    """vec_id, n_links (links that no leaf with a smaller number counts), low (smallest linked vec_id here) of a leaf."""
     frame = frame.sort_values("vec_id").reset_index(drop=True)
     points = _matrix(frame["v"])
     ids, copies = frame["vec_id"].to_numpy(), frame["copies"].to_numpy()
     counts = np.zeros(len(frame), dtype=np.int64)
     edges_a, edges_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    placed = [_wide([[p["leaf"] for p in found if p["tree"] == t] for found in frame["places"]]) for t in range(tree + 1)]
+    # Many vectors lie in the same leaves; which leaf a pair meets in first is found once per pair of such sets.
+    sets, of = np.unique(_wide(frame["places"]), axis=0, return_inverse=True)
+    of = of.ravel()
     for start in range(0, len(frame), rows):
-        a, b = np.nonzero(points[start : start + rows] @ points.T >= threshold - 1e-9)
+        dots = points[start : start + rows] @ points.T
+        a, b = np.nonzero(dots >= threshold - 1e-9)
+        keep = a + start < b
+        a, b = a[keep], b[keep]
+        unsure = dots[a, b] < threshold + 1e-9
         a = a + start
-        a, b = a[a < b], b[a < b]
-        exact = np.einsum("ij,ij->i", points[a], points[b]) >= threshold
-        a, b = a[exact], b[exact]
-        fresh = first_common(placed[tree], a, b) == leaf
-        for sets in placed[:tree]:
-            fresh &= first_common(sets, a, b) < 0
+        linked = np.ones(len(a), dtype=bool)
+        linked[unsure] = np.einsum("ij,ij->i", points[a[unsure]], points[b[unsure]]) >= threshold
+        combos, which = np.unique(of[a] * len(sets) + of[b], return_inverse=True)
+        fresh = linked & (first_common(sets, combos // len(sets), combos % len(sets)) == leaf)[which.ravel()]
         a, b = a[fresh], b[fresh]
-        np.add.at(counts, a, copies[b])
-        np.add.at(counts, b, copies[a])
+        counts += np.bincount(a, copies[b], len(frame)).astype(np.int64) + np.bincount(b, copies[a], len(frame)).astype(np.int64)
         # A spanning forest is enough for the components.
         low = roots(len(frame), a, b)
-        linked = np.flatnonzero(low != np.arange(len(frame)))
-        edges_a.append(linked)
-        edges_b.append(low[linked])
+        joined = np.flatnonzero(low != np.arange(len(frame)))
+        edges_a.append(joined)
+        edges_b.append(low[joined])
     low = roots(len(frame), np.concatenate(edges_a), np.concatenate(edges_b))
     found = (counts > 0) | (low != np.arange(len(frame)))
     return pd.DataFrame({"vec_id": ids[found], "n_links": counts[found], "low": ids[low[found]]})
@@ -248,15 +253,14 @@ def links(classes: DataFrame, threshold: float, trees: int = TREES) -> DataFrame
         return cut(frame, int(key[0]), threshold)
 
     cuts = reached.drop("nodes", "leaves").groupBy("tree", "label", "size", "node")
-    cuts = cuts.applyInPandas(cut_leaf, f"vec_id {kind}, tree int, leaf long")
-    places = cuts.groupBy("vec_id").agg(F.collect_list(F.struct("tree", "leaf")).alias("places"))
+    cuts = cuts.applyInPandas(cut_leaf, f"vec_id {kind}, leaf long")
+    places = cuts.groupBy("vec_id").agg(F.collect_list("leaf").alias("places"))
     placed = materialise(routed.drop("leaves").join(places, "vec_id"), "placed")
 
     def compare_leaf(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return compared(frame, int(key[0]), int(key[3]), threshold)
+        return compared(frame, int(key[2]), threshold)
 
-    in_leaves = placed.withColumn("at", F.explode("places")).select("*", "at.tree", "at.leaf").drop("at")
-    in_leaves = in_leaves.groupBy("tree", "label", "size", "leaf")
+    in_leaves = placed.withColumn("leaf", F.explode("places")).groupBy("label", "size", "leaf")
     return in_leaves.applyInPandas(compare_leaf, f"vec_id {kind}, n_links long, low {kind}")
 
 
