@@ -185,15 +185,15 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     return Model.trained([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The input with the column score, 0 to 1."""
+def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """The input with the score, 0 to 1, in the column ``name`` (a column of that name is replaced)."""
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")
 
-    return docs.withColumn("score", run(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(name, run(F.coalesce(F.col(text), F.lit(""))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **rows) -> DataFrame:

@@ -78,20 +78,24 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOK
 
 
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """docs with text (and n_chars, where there is one) as it is left, and n_lines and n_dropped."""
-    columns = docs.columns
-    keyed = docs.withColumn("_doc", order_of_doc()).withColumn("_copy", F.xxhash64("text"))
-    gone = dropped(docs, min_docs, min_tokens).toDF("_doc", "_copy", "_lines")
-    joined = keyed.join(gone, ["_doc", "_copy"], "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, number: ~F.array_contains("_lines", number))
-    joined = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    joined = joined.withColumn("n_dropped", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-    joined = joined.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
-    joined = joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*columns, "n_lines", "n_dropped")
+    """docs with text (and n_chars, where there is one) as it is left, and n_lines and n_dropped.
+
+    Columns of docs that have these two names are replaced.
+    """
+    others = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in docs.columns if c != "text"])
+    keyed = docs.select(others.alias("row"), "text", order_of_doc().alias("doc"), F.xxhash64("text").alias("copy"))
+    joined = keyed.join(dropped(docs, min_docs, min_tokens), ["doc", "copy"], "left")
+    pieces = F.split("text", "\n")
+    kept = F.filter(pieces, lambda line, number: ~F.array_contains("lines", number))
+    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    joined = joined.withColumn("left", text)
+    out = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    out["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long")
+    out["n_dropped"] = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    names = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]
+    return joined.select(*[out[c].alias(c) for c in names])
 
 
 def digests(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:

@@ -147,7 +147,7 @@ def _prepared(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, D
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    _, streams, taken = _prepared(docs, ["doc_id"])
+    _, streams, taken = _prepared(docs.select("doc_id", "source", "text"), ["doc_id"])
     streams = materialise(streams, "mix-streams")
     words = pieces(streams).join(taken, ["sid", "block"]).groupBy("sid", "begin").agg(
         F.sum(F.col("times") * F.col("length")).alias("words")
@@ -164,7 +164,8 @@ def mix_texts(docs: DataFrame) -> DataFrame:
     The words of a row keep their order, joined by one space; n_chars, where there is one, is counted anew.
     """
     columns = docs.columns
-    _, streams, taken = _prepared(docs, columns)
+    others = F.struct(*[F.col(c) for c in columns if c != "text"])
+    _, streams, taken = _prepared(docs.select("doc_id", "source", "text", others.alias("row")), ["row", "text"])
     parts = pieces(streams).join(taken, ["sid", "block"]).groupBy("sid", "begin").agg(
         F.sort_array(F.collect_list(F.struct("start", "length", "times"))).alias("parts")
     )
@@ -176,9 +177,10 @@ def mix_texts(docs: DataFrame) -> DataFrame:
     chosen = F.filter("parts", lambda p: p["times"] >= F.col("round"))
     cut = F.transform(chosen, lambda p: F.slice(F.col("words"), (p["start"] + 1).cast("int"), p["length"].cast("int")))
     joined = joined.withColumn("text", F.array_join(F.flatten(cut), " "))
+    out = {c: F.col("row")[c] for c in columns} | {"text": F.col("text")}
     if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*columns)
+        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[value.alias(c) for c, value in out.items()])
 
 
 #: The same by plain SQL.

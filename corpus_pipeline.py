@@ -14,7 +14,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels of those in docs that are not held out."""
     labels = reachable(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = compression_toxicity.learn(docs, labels)
-    return compression_toxicity.scored(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
+    return compression_toxicity.scored(docs, model, name="_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
