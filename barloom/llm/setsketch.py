@@ -7,9 +7,10 @@ similarity is estimated jointly, by the likelihood of how many registers are lar
 set sizes; pairs that may reach the threshold are confirmed on the full sets of their texts.
 
 Documents with the same set are one class, whose smallest doc_id stands for it. In a bucket, classes are first
-compared with one hub only, the class that shares most buckets. Links then join components, and only members of different components
-are compared further, with a growing number of others until all such pairs have been: no pair inside a
-component is made twice, and none across components is left out.
+compared with one hub only, the class that shares most buckets. Links then join components, and only members of different
+components are compared further: with the bucket's own hub, then with ``MEMBERS`` members, which is all in most buckets. What
+larger buckets still need is found by an exact prefix filter, so no pair that links is left out and the
+pairs do not grow with the square of a bucket.
 
 Defined results: null, empty and white-space texts have no shingles and are linked with nothing; texts
 with fewer words than a shingle have one, their whole sequence; repeated rows and a doc_id on several rows count as
@@ -36,8 +37,8 @@ BANDS, BAND = 24, 4
 BASE, RATE = 1.02, 20.0
 #: A pair is confirmed on its texts if its estimate is not below the threshold by more: six deviations.
 MARGIN = 0.25
-#: Growth of the number of members that each member of a bucket is compared with.
-GROWTH = 16
+#: Members of a bucket that the others are compared with before the prefix filter.
+MEMBERS = 16
 
 FACTORS = np.random.default_rng(71).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Values hashed at a time.
@@ -144,12 +145,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float)
         for frame in frames:
             for start, stop in chunks(frame["text_b"].tolist()):
                 part = frame.iloc[start:stop]
-                ids = part["a"].tolist()
-                new = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
-                firsts = iter(shingle_sets([part["text_a"].iat[i] for i in new], size))
+                hubs = part["text_a"].tolist()
+                new = [not i or hubs[i] != hubs[i - 1] for i in range(len(hubs))]
+                firsts = iter(shingle_sets([hub for hub, first in zip(hubs, new) if first], size))
                 one, found = None, []
-                for i, other in enumerate(shingle_sets(part["text_b"].tolist(), size)):
-                    one = next(firsts) if not i or ids[i] != ids[i - 1] else one
+                for first, other in zip(new, shingle_sets(part["text_b"].tolist(), size)):
+                    one = next(firsts) if first else one
                     shared = len(np.intersect1d(one, other, assume_unique=True))
                     found.append(100 * shared >= percent * (len(one) + len(other) - shared))
                 yield part.loc[found, ["a", "b"]]
@@ -185,40 +186,82 @@ def links(docs: DataFrame, sketched: DataFrame, size: int, threshold: float) ->
         likely = materialise(_likely(pairs, reps, threshold), "likely")
         return pairs, materialise(_confirmed(likely.distinct(), texts, size, threshold).distinct(), "links")
 
-    # First each class with the leading hub of its buckets, then with its other hubs, then as the buckets still need.
     leading = members.where("hub <> rep").groupBy("rep").agg(F.max("top").alias("top")).select("rep", (-F.col("top.rep")).alias("hub"))
     done, edges = decide(leading.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")))
-    hubs, total = 0, None
-    while True:
-        labels = components(edges)
-        whose = members.select("rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+
+    def placed() -> tuple[DataFrame, DataFrame]:
+        """Members with their components so far, and the buckets that hold several components."""
+        whose = members.select("rep").distinct().join(components(edges).withColumnRenamed("node", "rep"), "rep", "left")
         whose = materialise(whose.select("rep", F.coalesce("component", "rep").alias("component")), "components")
-        placed = members.join(whose, "rep")
-        open_ = placed.groupBy("band", "key").agg(
+        now = members.join(whose, "rep")
+        several = now.groupBy("band", "key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
         )
-        open_ = open_.where("low < high").select("band", "key", "n")
-        if hubs == 0:
-            chosen = placed.where("hub = rep")
-        else:
-            # About ``hubs`` members of a bucket, chosen by hash: all of them in the last round.
-            left = placed.join(open_, ["band", "key"])
-            chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            chosen = left.where(chance * F.col("n") < hubs)
+        return now, several.where("low < high").select("band", "key", "n")
+
+    for others in ("hub = rep", None):
+        now, several = placed()
+        open_ = now.join(several, ["band", "key"])
+        # About MEMBERS of a bucket, chosen by hash; a bucket of that size or less gives all.
+        chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        chosen = open_.where(others) if others else open_.where(chance * F.col("n") < MEMBERS)
         one = chosen.select("band", "key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))
-        other = placed.join(open_.select("band", "key"), ["band", "key"], "left_semi")
-        other = other.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"))
+        other = open_.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"))
         # Sets whose sizes differ by more than the threshold allows cannot reach it.
         possible = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= round(threshold * 100) * F.greatest("nx", "ny"))
         pairs = one.join(other, ["band", "key"]).where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-        tried, found = decide(pairs)
-        total = total if total is not None else open_.agg(F.max("n")).first()[0] or 0
-        done = done.union(tried)
-        edges = edges.union(found)
-        if hubs >= total:
-            return copies.union(edges)
-        hubs = max(GROWTH, hubs * GROWTH)
+        tried, found = decide(pairs.join(done, ["a", "b"], "left_anti"))
+        done, edges = done.union(tried), edges.union(found)
+    now, several = placed()
+    crowded = now.join(several.where(F.col("n") > MEMBERS), ["band", "key"], "left_semi").select("rep", "component").distinct()
+    _, found = decide(_rest(crowded, texts, size, threshold).join(done, ["a", "b"], "left_anti"))
+    return copies.union(edges).union(found)
+
+
+def _rest(crowded: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different components that can reach the threshold, among (rep, component).
+
+    An exact prefix filter: with the elements of all sets in one order, rare ones first, two sets that share t elements
+    share one among the first n - t + 1 of each. Per element, members of the component that most members have need
+    not meet each other.
+    """
+    percent = round(threshold * 100)
+    kind = crowded.schema["rep"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            all_texts = frame["text"].tolist()
+            for start, stop in chunks(all_texts):
+                sets = shingle_sets(all_texts[start:stop], size)
+                lengths = [len(x) for x in sets]
+                part = frame.iloc[np.repeat(np.arange(start, stop), lengths)][["rep", "component", "copy"]]
+                elements = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+                yield part.assign(n=np.repeat(lengths, lengths).astype(np.int64), element=elements.view(np.int64))
+
+    held = texts.withColumnRenamed("doc_id", "rep").join(crowded, "rep").withColumn("copy", F.xxhash64("text"))
+    held = held.select("rep", "component", "copy", "text").mapInPandas(
+        run, f"rep {kind}, component {kind}, copy long, n long, element long"
+    )
+    held = materialise(held, "elements")
+    counts = held.groupBy("element").agg(F.count(F.lit(1)).alias("docs"))
+    ordered = held.join(counts, "element").groupBy("rep", "component", "copy", "n").agg(
+        F.sort_array(F.collect_list(F.struct("docs", "element"))).alias("elements")
+    )
+    longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = ordered.select("rep", "component", "n", F.posexplode(F.slice("elements", F.lit(1), longest.cast("int"))).alias("at", "e"))
+    first = first.where("e.docs > 1").select("rep", "component", "n", "at", "e.element")
+    by_component = first.groupBy("element", "component").agg(F.count(F.lit(1)).alias("rows"))
+    most = by_component.groupBy("element").agg(
+        F.max(F.struct("rows", "component")).alias("most"), F.count(F.lit(1)).alias("components")
+    )
+    first = materialise(first.join(most.where("components > 1").select("element", F.col("most.component").alias("main")), "element"), "prefixes")
+    few, every = first.where("component <> main"), first
+    few = few.select("element", *(F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "at")))
+    total = percent * (F.col("n_x") + F.col("n"))
+    shared = F.ceil(total / (100 + percent))
+    meets = (F.col("component_x") != F.col("component")) & (F.col("at_x") <= F.col("n_x") - shared) & (F.col("at") <= F.col("n") - shared)
+    pairs = few.join(every, "element").where(meets)
+    return pairs.select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
