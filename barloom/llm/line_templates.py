@@ -1,18 +1,17 @@
 """Line dedup by a tree of log templates.
 
-Variable fields first: a token with a digit becomes <*>. The tree has a fixed depth: a line goes to the leaf of its
-number of tokens and its ``LEADING`` first tokens. The line of a leaf that most documents hold (two at least) is its template;
-lines of the leaf that agree with it in ``LIKE`` of their tokens or more belong to it, their other tokens are variable
-fields. Any other line is a template by itself. A template that ``min_docs`` documents or more hold is recurring: its
-lines are dropped from every document but the first that holds it, so no content leaves the corpus.
-
-All of it is DataFrame operations; lines meet by hash, and counts combine before the shuffle. min_docs is above the size
-of ordinary groups of copied documents, which are left to near-duplicate search; shorter lines than ``min_tokens`` recur by
-chance and stay.
-
-Defined results: a null text has no lines and stays null; an empty text has one empty line; blank lines are never
-dropped; rows are documents of their own, so a repeated row counts again, and rows with the first doc_id all keep the line;
-null doc_ids come after all others; an empty table gives no rows; other columns stay in ``deduplicated``.
+Variable fields first: a leading token with a digit becomes <*>. The tree has a fixed depth: a line goes down by its number of
+tokens and by its ``LEADING`` first tokens, and its leaf is its template; the tokens further on are variable fields, too. A
+template that ``min_docs`` documents or more hold is recurring: its lines are dropped from every document but the first
+that holds it, so no template leaves the corpus.
+
+All of it is DataFrame operations; the text is cut once, lines meet by the hash of their leaf, and counts combine before
+the shuffle. min_docs is above the size of ordinary groups of copied documents, which are left to near-duplicate search;
+shorter lines than ``min_tokens`` recur by chance and stay.
+
+Defined results: a null text has no lines and stays null; an empty text has one empty line; blank lines are never dropped;
+rows equal in doc_id and text count once and lose the same lines; rows with the first doc_id all keep the line; null doc_ids come
+after all others; an empty table gives no rows; other columns stay in ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -20,60 +19,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEADING = 3
-LIKE = 0.7
+from barloom.functions.shared import materialise
+
+LEADING = 8
 MIN_DOCS, MIN_TOKENS = 10, 3
 #: Comes after every doc_id.
 NONE = (1 << 63) - 1
 
 
-def masked(line):
-    """A line with single blanks for other white space, none at its ends, and <*> for tokens with digits."""
-    plain = F.trim(F.translate(line, "\t\r\f\x0b", "    "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(plain)
+def plain(line):
+    """A line with blanks for other white space and none at its ends."""
+    return F.trim(F.translate(line, "\t\r\f\x0b", "    "))
 
 
 def token_count(line):
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
+def leaf(line):
+    """Token count and leading tokens of a plain line, <*> for those with digits."""
+    lead = F.substring_index(line, " ", LEADING)
+    lead = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(lead)
+    return F.concat_ws(" ", token_count(line).cast("string"), lead)
+
+
 def order_of_doc():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))
 
 
-def templates(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """line, first, template: masked lines of recurring templates with the first document of the template."""
+def leaves(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """doc, copy (hash of the text), number, leaf (hash) of the lines that are long enough."""
     lines = docs.select(
-        order_of_doc().alias("doc"),
-        F.explode(F.array_distinct(F.transform(F.split("text", "\n"), masked))).alias("line"),
-    )
-    counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
-    counted = counted.withColumn("n", token_count(F.col("line"))).where(F.col("n") >= min_tokens)
-    leaf = F.struct("n", F.substring_index("line", " ", LEADING).alias("lead"))
-    counted = counted.withColumn("leaf", leaf)
-    seeds = counted.where("docs > 1").groupBy("leaf").agg(F.max(F.struct("docs", "line", "first", "n")).alias("seed"))
-    placed = counted.join(seeds.select("leaf", F.col("seed.line").alias("seed")), "leaf", "left")
-    equal = F.size(F.filter(F.arrays_zip(F.split("line", " ").alias("a"), F.split("seed", " ").alias("b")), lambda p: p["a"] == p["b"]))
-    alike = F.col("seed").isNotNull() & ((F.col("line") == F.col("seed")) | (equal >= LIKE * F.col("n")))
-    placed = placed.withColumn("template", F.when(alike, F.col("seed")).otherwise(F.col("line")))
-    # A line that stands alone in its leaf is decided already; only lines of shared templates meet again.
-    totals = placed.where("docs > 1 or template <> line").groupBy("template").agg(
-        F.sum("docs").alias("docs"), F.min("first").alias("first")
+        order_of_doc().alias("doc"), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("number", "line")
     )
-    recurring = totals.where(F.col("docs") >= min_docs)
-    members = placed.where("docs > 1 or template <> line").select("line", "template")
-    return members.join(recurring, "template").select("line", "first", "template")
+    lines = lines.withColumn("line", plain(F.col("line"))).where(token_count(F.col("line")) >= min_tokens)
+    return lines.select("doc", "copy", "number", F.unhex(F.md5(leaf(F.col("line")).cast("binary"))).alias("leaf"))
+
+
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """leaf, first: the templates that enough documents hold, and the first that does."""
+    by_doc = lines.groupBy("leaf", "doc", "copy").agg(F.lit(1).alias("one"))
+    counted = by_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
+    return counted.where(F.col("docs") >= min_docs).select("leaf", "first")
 
 
 def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc, copy (hash of the text), lines: numbers of the lines to drop."""
-    found = templates(docs, min_docs, min_tokens).select(F.md5(F.col("line").cast("binary")).alias("key"), "first")
-    lines = docs.select(
-        order_of_doc().alias("doc"), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("number", "line")
-    )
-    lines = lines.select("doc", "copy", "number", masked(F.col("line")).alias("line")).where("line <> ''")
-    lines = lines.select("doc", "copy", "number", F.md5(F.col("line").cast("binary")).alias("key"))
-    gone = lines.join(found, "key").where("doc > first")
+    """doc, copy, lines: numbers of the lines to drop."""
+    lines = materialise(leaves(docs, min_tokens), "leaves")
+    gone = lines.join(recurring(lines, min_docs), "leaf").where("doc > first")
     return gone.groupBy("doc", "copy").agg(F.collect_set("number").alias("lines"))
 
 
@@ -104,20 +97,16 @@ def digests(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOK
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-_MASKED = "regexp_replace(trim(translate({0}, chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')"
+_PLAIN = "trim(translate({0}, chr(9) || chr(13) || chr(12) || chr(11), '    '), ' ')"
+_LEAD = f"array_to_string(string_split(plain, ' ')[1:{LEADING}], ' ')"
 #: The same by plain SQL.
 ORACLE = f"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {NONE}) AS doc, text FROM documents),
-lines AS (SELECT r, doc, number, line, {_MASKED.format("line")} AS masked
-   FROM (SELECT r, doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM rows)),
-counted AS (SELECT masked, count(DISTINCT r) AS docs, min(doc) AS first, len(string_split(masked, ' ')) AS n,
-   array_to_string(string_split(masked, ' ')[1:{LEADING}], ' ') AS lead FROM lines GROUP BY masked HAVING len(string_split(masked, ' ')) >= {MIN_TOKENS}),
-seeds AS (SELECT n, lead, max({{'docs': docs, 'line': masked}}).line AS seed FROM counted WHERE docs > 1 GROUP BY n, lead),
-placed AS (SELECT c.*, CASE WHEN seed IS NOT NULL AND
-   len(list_filter(range(1, c.n + 1), lambda i: string_split(masked, ' ')[i] = string_split(seed, ' ')[i])) >= {LIKE} * c.n THEN seed ELSE masked END AS template
-   FROM counted c LEFT JOIN seeds s ON c.n = s.n AND c.lead = s.lead),
-totals AS (SELECT template, sum(docs) AS docs, min(first) AS first FROM placed GROUP BY template HAVING sum(docs) >= {MIN_DOCS}),
-gone AS (SELECT l.r, l.number FROM lines l JOIN placed p ON l.masked = p.masked JOIN totals t ON p.template = t.template WHERE l.doc > t.first),
+lines AS (SELECT r, doc, number, line, text, {_PLAIN.format("line")} AS plain
+   FROM (SELECT r, doc, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM rows)),
+placed AS (SELECT *, len(string_split(plain, ' ')) AS n, regexp_replace({_LEAD}, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS lead FROM lines),
+totals AS (SELECT n, lead, min(doc) AS first FROM placed WHERE n >= {MIN_TOKENS} GROUP BY n, lead HAVING count(DISTINCT (doc, text)) >= {MIN_DOCS}),
+gone AS (SELECT p.r, p.number FROM placed p JOIN totals t ON p.n = t.n AND p.lead = t.lead WHERE p.doc > t.first),
 kept AS (SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.number) AS text FROM lines l LEFT JOIN gone g ON l.r = g.r AND l.number = g.number WHERE g.r IS NULL GROUP BY l.r),
 n AS (SELECT l.r, count(*) AS n_lines, count(g.r) AS n_dropped FROM lines l LEFT JOIN gone g ON l.r = g.r AND l.number = g.number GROUP BY l.r)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256

@@ -234,10 +234,10 @@ def test_line_templates(make_docs):
 
 def test_line_templates_generalise_words(make_docs):
     names = ["ann", "bob", "cyd"]
-    pairs = [(i, f"please log in again dear {names[i % 3]} before noon today") for i in range(12)]
-    out = line_templates.templates(make_docs(pairs), min_docs=10).collect()
-    assert len({r["template"] for r in out}) == 1 and len(out) == 3
-    assert line_templates.templates(make_docs(pairs), min_docs=13).collect() == []
+    pairs = [(i, f"please log in again before noon today dear {names[i % 3]} {i} thanks") for i in range(12)]
+    lines = line_templates.leaves(make_docs(pairs + [(20, "please log in again before noon today dear")]))
+    assert [r["first"] for r in line_templates.recurring(lines, 12).collect()] == [0]
+    assert line_templates.recurring(lines, 13).collect() == []
 
 
 # Licences
