@@ -35,12 +35,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """The input with size, the number of its words."""
-    # A word starts where white space, or nothing, stands before it.
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    trimmed = F.trim(text)
-    spaces = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit("")))
-    return docs.withColumn("size", F.when(trimmed == "", 0).otherwise(spaces + 1).cast("long"))
+    """doc_id, source, copy (hash of the text) and size, the number of its words, of every row."""
+    plain = F.translate(F.coalesce(F.col("text"), F.lit("")), "\t\n\x0b\f\r", "     ")
+    words = F.size(F.filter(F.split(plain, " "), lambda word: word != ""))
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("copy"), words.cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -69,11 +67,11 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def streamed(docs: DataFrame, table: DataFrame, chunks: int) -> DataFrame:
-    """docs (with size, sid, source_size, target) and begin: where the document starts in its source's stream."""
+    """Rows of sized() with sid, source_size, target and begin: where the document starts in its source's stream."""
     same = F.col("source").eqNullSafe(F.col("t_source"))
     joined = docs.join(table.withColumnRenamed("source", "t_source"), same).drop("t_source")
     joined = joined.withColumn("chunk", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(chunks)))
-    inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", F.xxhash64("text"))
+    inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "copy")
     joined = joined.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     totals = joined.groupBy("sid", "chunk").agg(F.sum("size").alias("total"))
     ahead = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,25 +131,21 @@ def pieces(streams: DataFrame) -> DataFrame:
     return each.select("sid", "block", "begin", (start - F.col("begin")).alias("start"), (stop - start).alias("length"))
 
 
-def _prepared(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sources, the streams (with the columns to keep) and, per piece that is taken, how often."""
-    sizes = materialise(sized(docs.select("source", "text", "doc_id")).groupBy("source").agg(
-        F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")
-    ), "mix-sizes")
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The streams, and per piece that is taken how often. Words are counted once; all else works on narrow rows."""
+    narrow = materialise(sized(docs), "mix-sizes")
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs"))
     table = materialise(targets(sizes), "mix-sources")
-    chunks = max(1, -(-(sizes.agg(F.sum("docs")).first()[0] or 0) // CHUNK))
-    streams = streamed(sized(docs), table, chunks)
+    chunks = max(1, -(-narrow.count() // CHUNK))
+    streams = materialise(streamed(narrow, table, chunks), "mix-streams")
     taken = slots(materialise(drawn(table), "mix-counts"), table).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    return table, streams.select(*keep, "sid", "size", "source_size", "target", "begin"), taken
+    return streams, pieces(streams).join(taken, ["sid", "block"])
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    _, streams, taken = _prepared(docs.select("doc_id", "source", "text"), ["doc_id"])
-    streams = materialise(streams, "mix-streams")
-    words = pieces(streams).join(taken, ["sid", "block"]).groupBy("sid", "begin").agg(
-        F.sum(F.col("times") * F.col("length")).alias("words")
-    )
+    streams, parts = _prepared(docs)
+    words = parts.groupBy("sid", "begin").agg(F.sum(F.col("times") * F.col("length")).alias("words"))
     # Documents without words share their begin with others.
     filled = F.when(F.col("size") > 0, F.col("begin"))
     joined = streams.withColumn("begin", filled).join(words, ["sid", "begin"], "left")
@@ -161,26 +155,33 @@ def mixed(docs: DataFrame) -> DataFrame:
 def mix_texts(docs: DataFrame) -> DataFrame:
     """The mix as rows of docs: for each round, every document that gives words to it, with those words as its text.
 
-    The words of a row keep their order, joined by one space; n_chars, where there is one, is counted anew.
+    The words of a row keep their order, joined by one space; n_chars, where there is one, is counted anew. Rows equal
+    in doc_id, source and text each give words, with the other columns of one of them.
     """
     columns = docs.columns
-    others = F.struct(*[F.col(c) for c in columns if c != "text"])
-    _, streams, taken = _prepared(docs.select("doc_id", "source", "text", others.alias("row")), ["row", "text"])
-    parts = pieces(streams).join(taken, ["sid", "block"]).groupBy("sid", "begin").agg(
-        F.sort_array(F.collect_list(F.struct("start", "length", "times"))).alias("parts")
+    streams, parts = _prepared(docs)
+    parts = parts.groupBy("sid", "begin").agg(F.sort_array(F.collect_list(F.struct("start", "length", "times"))).alias("parts"))
+    chosen = streams.where("size > 0").join(parts, ["sid", "begin"]).select(
+        F.col("doc_id").alias("id"), F.col("source").alias("from"), "copy", "parts"
     )
-    joined = streams.where("size > 0").join(parts, ["sid", "begin"])
+    others = F.struct(*[F.col(c) for c in columns if c != "text"])
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.xxhash64("text").alias("copy"), others.alias("row"), "text")
+    rows = rows.groupBy("id", "from", "copy").agg(F.first("row").alias("row"), F.first("text").alias("text"))
+    same = [rows[c].eqNullSafe(chosen[c]) for c in ("id", "from", "copy")]
+    joined = rows.join(chosen, same).select("row", "text", "parts")
     most = F.array_max(F.transform("parts", lambda p: p["times"]))
+    plain = F.translate("text", "\t\n\x0b\f\r", "     ")
+    joined = joined.withColumn("words", F.filter(F.split(plain, " "), lambda word: word != ""))
     joined = joined.withColumn("round", F.explode(F.sequence(F.lit(1).cast("long"), most)))
-    words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
-    joined = joined.withColumn("words", words)
-    chosen = F.filter("parts", lambda p: p["times"] >= F.col("round"))
-    cut = F.transform(chosen, lambda p: F.slice(F.col("words"), (p["start"] + 1).cast("int"), p["length"].cast("int")))
+    cut = F.transform(
+        F.filter("parts", lambda p: p["times"] >= F.col("round")),
+        lambda p: F.slice(F.col("words"), (p["start"] + 1).cast("int"), p["length"].cast("int")),
+    )
     joined = joined.withColumn("text", F.array_join(F.flatten(cut), " "))
-    out = {c: F.col("row")[c] for c in columns} | {"text": F.col("text")}
+    out = {c: F.col("row")[c] for c in columns if c != "text"} | {"text": F.col("text")}
     if "n_chars" in columns:
         out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[value.alias(c) for c, value in out.items()])
+    return joined.select(*[out[c].alias(c) for c in columns])
 
 
 #: The same by plain SQL.
