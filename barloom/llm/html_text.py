@@ -141,15 +141,16 @@ class Weights:
         self.seen: dict[frozenset[str], float] = {}
 
     def word(self, labels: frozenset[str]) -> float:
-        """1 where nothing speaks against the word, else slightly negative: such words are left out anyway."""
+        """1 where nothing speaks against the word. Others are left out anyway, and cost little, or nothing in the main text."""
         score = self.seen.get(labels)
         if score is None:
-            score = self.seen[labels] = 1.0 if min((self.words.get(x, 0.0) for x in labels), default=0.0) >= 0 else -0.05
+            content = min((self.words.get(x, 0.0) for x in labels), default=0.0) >= 0
+            score = self.seen[labels] = 1.0 if content else 0.0 if labels & MAIN else -0.05
         return score
 
     def tag(self, name: str, labels: frozenset[str]) -> float:
         """Inside an element for the main text any tag costs little: lists and links may be part of it."""
-        return -0.1 if labels & MAIN and self.word(labels) > 0 else self.tags.get(name, -0.5)
+        return -0.1 if labels & MAIN else self.tags.get(name, -0.5)
 
 
 def region(scores: list[float]) -> tuple[int, int]:
