@@ -147,9 +147,13 @@ def compared(frame: pd.DataFrame, leaf: int, threshold: float, rows: int = 2048)
     ids, copies = frame["vec_id"].to_numpy(), frame["copies"].to_numpy()
     counts = np.zeros(len(frame), dtype=np.int64)
     edges_a, edges_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    # Many vectors lie in the same leaves; which leaf a pair meets in first is found once per pair of such sets.
-    sets, of = np.unique(_wide(frame["places"]), axis=0, return_inverse=True)
-    of = of.ravel()
+    # Which vectors also lie in which leaf with a smaller number: a pair with such a leaf in common counts there.
+    lengths = [len(found) for found in frame["places"]]
+    places = np.concatenate(list(frame["places"]))
+    row = np.repeat(np.arange(len(frame)), lengths)[places < leaf]
+    codes, column = np.unique(places[places < leaf], return_inverse=True)
+    before = np.zeros((len(frame), len(codes)), dtype=np.float32)
+    before[row, column] = 1
     for start in range(0, len(frame), rows):
         dots = points[start : start + rows] @ points.T
         a, b = np.nonzero(dots >= threshold - 1e-9)
@@ -159,8 +163,7 @@ def compared(frame: pd.DataFrame, leaf: int, threshold: float, rows: int = 2048)
         a = a + start
         linked = np.ones(len(a), dtype=bool)
         linked[unsure] = np.einsum("ij,ij->i", points[a[unsure]], points[b[unsure]]) >= threshold
-        combos, which = np.unique(of[a] * len(sets) + of[b], return_inverse=True)
-        fresh = linked & (first_common(sets, combos // len(sets), combos % len(sets)) == leaf)[which.ravel()]
+        fresh = linked & ((before[start : start + rows] @ before.T)[a - start, b] == 0)
         a, b = a[fresh], b[fresh]
         counts += np.bincount(a, copies[b], len(frame)).astype(np.int64) + np.bincount(b, copies[a], len(frame)).astype(np.int64)
         # A spanning forest is enough for the components.
@@ -173,24 +176,6 @@ def compared(frame: pd.DataFrame, leaf: int, threshold: float, rows: int = 2048)
     return pd.DataFrame({"vec_id": ids[found], "n_links": counts[found], "low": ids[low[found]]})
 
 
-def _wide(lists) -> np.ndarray:
-    width = max([1, *map(len, lists)])
-    out = np.full((len(lists), width), -1, dtype=np.int64)
-    for r, found in enumerate(lists):
-        out[r, : len(found)] = sorted(found)
-    return out
-
-
-def first_common(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest number in both rows' sets, -1 if none."""
-    best = np.full(len(a), np.iinfo(np.int64).max)
-    for x in range(sets.shape[1]):
-        left = sets[a, x]
-        for y in range(sets.shape[1]):
-            best = np.where((left >= 0) & (left == sets[b, y]) & (left < best), left, best)
-    return np.where(best == np.iinfo(np.int64).max, -1, best)
-
-
 def links(classes: DataFrame, threshold: float, trees: int = TREES) -> DataFrame:
     """vec_id, n_links, low of the classes (vec_id, label, v, copies) per tree and routed leaf."""
     kind = classes.schema["vec_id"].dataType.simpleString()
