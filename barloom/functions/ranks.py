@@ -7,132 +7,77 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-IN_TASK = 1_000_000
+#: Values per quantile that the sketch tells apart, and the width of a bracket in its errors.
+ACCURACY, ERRORS = 1000, 2
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], in_task: int = IN_TASK
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column.
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles per column, by one path at every size.
 
-    Up to ``in_task`` values the built-in exact percentile is used. Beyond it, sketches
-    bracket each wanted order statistic, one pass counts what lies below and inside the
-    bracket, and the bracket shrinks until it holds at most ``in_task`` values (or one
-    repeated value). Only two numbers per bracket reach the driver.
+    One sketch brackets each wanted quantile. Only the values inside a bracket, some thousandths of a
+    column, are ranked exactly, range by range over many tasks; two numbers per quantile reach the driver.
+    A bracket that misses its ranks is widened, at last to the whole column. ``df`` is read a few times: give
+    it a written table where it is expensive.
     """
     if not columns:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if counts[c] <= in_task]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(
-            *[
-                F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probabilities))).alias(c)
-                for c in small
-            ]
-        ).first()
-        out |= {c: list(row[c]) if row[c] is not None else [None] * len(probabilities) for c in small}
-    large = [c for c in columns if counts[c] > in_task]
-    if large:
-        wanted = {}
-        for c in large:
-            for p in probabilities:
-                h = (counts[c] - 1) * p
-                wanted[(c, math.floor(h))] = None
-                wanted[(c, math.ceil(h))] = None
-        stats = _order_statistics(df, list(wanted), dict(zip(large, [counts[c] for c in large])), in_task)
-        for c in large:
-            vals = []
-            for p in probabilities:
-                h = (counts[c] - 1) * p
-                lo, hi = stats[(c, math.floor(h))], stats[(c, math.ceil(h))]
-                vals.append(lo + (hi - lo) * (h - math.floor(h)))
-            out[c] = vals
+    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    wanted = {}
+    for i, c in enumerate(columns):
+        for j, p in enumerate(probabilities):
+            if n := counts[f"n{i}"]:
+                h = (n - 1) * p
+                wanted[f"{i}:{j}"] = (c, math.floor(h), math.ceil(h), n)
+    found: dict[tuple[str, int], float] = {}
+    width = ERRORS / ACCURACY
+    left = dict(wanted)
+    while left:
+        found |= _ranked(df, left, width)
+        left = {k: w for k, w in left.items() if (k, w[1]) not in found or (k, w[2]) not in found}
+        width = width * 10 if width < 0.1 else 2.0
+    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
+    for i, c in enumerate(columns):
+        for j, p in enumerate(probabilities):
+            if (k := f"{i}:{j}") in wanted:
+                low, high = found[k, wanted[k][1]], found[k, wanted[k][2]]
+                h = (wanted[k][3] - 1) * p
+                out[c][j] = low if low == high else low + (high - low) * (h - math.floor(h))
     return out
 
 
-def _order_statistics(df, wanted, counts, in_task, accuracy=1000):
-    """{(column, k): k-th smallest value, from 0}."""
-    ends = df.agg(
-        *[F.struct(F.min(c).cast("double"), F.max(c).cast("double")).alias(c) for c in counts]
+def _ranked(df: DataFrame, wanted: dict[str, tuple], width: float) -> dict[tuple[str, int], float]:
+    """{(key, rank): value} for the ranks of (column, low rank, high rank, count) whose bracket holds them."""
+    value = {k: F.col(c).cast("double") for k, (c, _, _, _) in wanted.items()}
+    sketches = df.agg(
+        *[
+            F.percentile_approx(
+                value[k],
+                F.array(F.lit(max(0.0, (low - 1) / n - width)), F.lit(min(1.0, (high + 2) / n + width))),
+                ACCURACY,
+            ).alias(k)
+            for k, (_, low, high, n) in wanted.items()
+        ]
     ).first()
-    bracket = {w: (ends[w[0]][0], ends[w[0]][1], 0, counts[w[0]]) for w in wanted}
-    done: dict = {}
-    while True:
-        for w, (lo, hi, _, _) in list(bracket.items()):
-            if lo == hi:
-                done[w] = lo
-                del bracket[w]
-        wide = [w for w in bracket if bracket[w][3] > in_task]
-        if not wide:
-            break
-        inside = {
-            w: F.when(F.col(w[0]).cast("double").between(bracket[w][0], bracket[w][1]), F.col(w[0]).cast("double"))
-            for w in wide
-        }
-        cuts = df.agg(
-            *[
-                F.percentile_approx(
-                    inside[w],
-                    F.array(*[
-                        F.lit(min(1.0, max(0.0, (w[1] - bracket[w][2]) / bracket[w][3] + d)))
-                        for d in (-0.004, 0.0, 0.004)
-                    ]),
-                    accuracy,
-                ).alias(f"q{i}")
-                for i, w in enumerate(wide)
-            ]
-        ).first()
-        # Exact counts below each cut decide which side holds the wanted rank.
-        checks = df.agg(
-            *[
-                F.struct(
-                    *[
-                        F.count_if(F.col(w[0]).cast("double") < F.lit(v)).alias(f"b{j}")
-                        for j, v in enumerate(cuts[f"q{i}"])
-                    ],
-                    *[
-                        F.count_if(F.col(w[0]).cast("double") <= F.lit(v)).alias(f"e{j}")
-                        for j, v in enumerate(cuts[f"q{i}"])
-                    ],
-                ).alias(f"q{i}")
-                for i, w in enumerate(wide)
-            ]
-        ).first()
-        for i, w in enumerate(wide):
-            lo, hi, below, n = bracket[w]
-            upto = below + n
-            for j, v in enumerate(cuts[f"q{i}"]):
-                b, e = checks[f"q{i}"][f"b{j}"], checks[f"q{i}"][f"e{j}"]
-                if b <= w[1] < e:
-                    lo, hi, below, upto = v, v, b, e
-                    break
-                if e <= w[1] and v > lo:
-                    lo, below = math.nextafter(v, math.inf), e
-                elif w[1] < b and v < hi:
-                    hi, upto = math.nextafter(v, -math.inf), b
-            bracket[w] = (lo, hi, below, upto - below)
-    if bracket:
-        left = list(bracket)
-        row = df.agg(
-            *[
-                F.element_at(
-                    F.sort_array(
-                        F.collect_list(
-                            F.when(
-                                F.col(w[0]).cast("double").between(bracket[w][0], bracket[w][1]),
-                                F.col(w[0]).cast("double"),
-                            )
-                        )
-                    ),
-                    w[1] - bracket[w][2] + 1,
-                ).alias(f"v{i}")
-                for i, w in enumerate(left)
-            ]
-        ).first()
-        done |= {w: row[f"v{i}"] for i, w in enumerate(left)}
-    return done
+    ends = {
+        k: (None if (low - 1) / n - width <= 0 else sketches[k][0], None if (high + 2) / n + width >= 1 else sketches[k][1])
+        for k, (_, low, high, n) in wanted.items()
+    }
+
+    def inside(k):
+        low, high = ends[k]
+        test = F.lit(True) if low is None else value[k] >= F.lit(low)
+        return test if high is None else test & (value[k] <= F.lit(high))
+
+    below = df.agg(
+        *[(F.lit(0) if ends[k][0] is None else F.count_if(value[k] < F.lit(ends[k][0]))).alias(k) for k in wanted]
+    ).first()
+    cells = F.array(*[F.when(inside(k), F.struct(F.lit(k).alias("key"), value[k].alias("value"))) for k in wanted])
+    long = df.select(F.explode(F.array_compact(cells)).alias("cell")).select("cell.key", "cell.value")
+    asked = {(k, rank, rank - below[k]) for k, (_, low, high, _) in wanted.items() for rank in (low, high)}
+    table = df.sparkSession.createDataFrame(sorted(asked), "key string, rank long, place long")
+    ranked = value_ranks(long, ["key"], "value").join(table, "key")
+    hit = ranked.where((F.col("place") >= F.col("n_below")) & (F.col("place") < F.col("n_below") + F.col("n_equal")))
+    return {(r["key"], r["rank"]): r["value"] for r in hit.select("key", "rank", "value").collect()}
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, slices: int = 64) -> DataFrame:

@@ -155,27 +155,28 @@ def sweep(df: DataFrame, thresholds: list[float] | None = None, stake=100.0, min
 
     A row that passes a threshold passes every lower one. Rows are therefore grouped once
     by the highest threshold they pass, and suffix sums over at most len(thresholds)
-    groups give every threshold's totals: one pass instead of rows times thresholds.
+    groups give every threshold's totals: one pass instead of rows times thresholds. The grid may
+    be any list of thresholds; confidence that is null or not finite passes none.
     """
-    ts = thresholds or thresholds_between()
+    ts = sorted(set(thresholds or thresholds_between()))
     grid = F.array(*map(F.lit, ts))
     n = len(ts)
     c, up = F.col("confidence"), F.col("y_pred") > 0
-    # Guess the position on the even grid, then settle it by comparing with the grid itself.
-    step = (ts[-1] - ts[0]) / (n - 1) if n > 1 else 1.0
-    guess = F.least(F.greatest(F.floor((c - ts[0]) / step) + 1, F.lit(0)), F.lit(n)).cast("int")
-
-    def at(i):
-        return F.element_at(grid, F.greatest(F.least(i, F.lit(n)), F.lit(1)))
-
-    down = F.when((guess > 0) & (at(guess) > c), guess - 1).otherwise(guess)
-    level = F.when((down < n) & (at(down + 1) <= c), down + 1).otherwise(down)
-    counted = df.withColumn("_k", level).groupBy("_k").agg(
+    # A binary search, one step a column: the number of thresholds not above the confidence.
+    found = df.withColumn("_k", F.lit(0))
+    step = 1 << (n.bit_length() - 1)
+    while step:
+        reach = F.col("_k") + step
+        held = (reach <= n) & (F.element_at(grid, F.least(reach, F.lit(n))) <= c)
+        found = found.withColumn("_k", F.when(held, reach).otherwise(F.col("_k")))
+        step //= 2
+    found = found.withColumn("_k", F.when(passes(ts[0]), F.col("_k")).otherwise(0))
+    counted = found.groupBy("_k").agg(
         F.count(F.lit(1)).alias("n"), F.sum(profit(stake)).alias("p"), F.count_if(up).alias("inv"),
         F.count_if(up & hit()).alias("ok"), F.sum("confidence").alias("conf"),
     )
     every = df.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(ts)], "_k int, threshold double")
-    levels = every.join(counted, "_k", "full").fillna(0, ["n", "p", "inv", "ok", "conf"])
+    levels = every.join(counted, "_k", "full").fillna(0, ["n", "inv", "ok"])
     # At most n + 1 rows reach this window.
     above = Window.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -208,6 +209,15 @@ def sweep_problems(df: DataFrame) -> str | None:
     return "confidence contains infinite values" if row["inf"] else None
 
 
+def require_finite_confidence(df: DataFrame) -> DataFrame:
+    """df; raises where confidence is missing, NaN or infinite, as thresholds would then mean nothing."""
+    c = F.col("confidence")
+    row = df.agg(F.count_if(c.isNull() | F.isnan(c)).alias("nan"), F.count_if(F.abs(c) == float("inf")).alias("inf")).first()
+    if row["nan"] or row["inf"]:
+        raise ValueError(f"confidence has {row['nan']} missing or NaN and {row['inf']} infinite values")
+    return df
+
+
 def best_threshold(swept: DataFrame) -> DataFrame:
     """Best by profit per investment; the lowest threshold on ties."""
     return swept.orderBy(F.desc("test_profit_per_investment"), "threshold").limit(1)
@@ -234,7 +244,7 @@ def evaluate_at(df: DataFrame, threshold, stake=100.0, method="ge") -> DataFrame
 
 def evaluate_with_sweep(df: DataFrame, stake=100.0) -> DataFrame:
     """Sweep, then the evaluation at the best threshold, which stays a scalar subquery."""
-    best = best_threshold(sweep(df, stake=stake))
+    best = best_threshold(sweep(require_finite_confidence(df), stake=stake))
     return evaluate_at(df, best.select("threshold").scalar(), stake).withColumn(
         "optimal_threshold", best.select("threshold").scalar()
     )

@@ -66,6 +66,8 @@ def training_set(
     df = df.select(*[c for c in ("ticker", "date") if c in df.columns], *names, target).withColumn(
         "split", F.when(F.col("date") < F.lit(split_date).cast("date"), "train").otherwise("test")
     )
+    # Medians, both sides and the result read the panel: compute it once.
+    df = materialise(df, "panel")
     fit = df if fit_on == "all" else df.where(F.col("split") == "train")
     df = fill_median(df, names, fit)
     df = df.where((F.col("split") == "train") | F.weekday("date").isin(list(weekdays)))
@@ -81,7 +83,8 @@ def prediction_set(features: DataFrame, horizon: int = 10, start: str = "2025-06
     df, target = return_target(features, horizon)
     df = derived_features(on_weekdays(df, weekdays))
     names = [c for c in feature_columns(df, allow_look_ahead) if c in numeric_columns(df)]
-    df = fill_median(df.select(*[c for c in ("ticker", "date") if c in df.columns], *names, target), names)
+    df = materialise(df.select(*[c for c in ("ticker", "date") if c in df.columns], *names, target), "panel")
+    df = fill_median(df, names)
     return df.where(F.col("date") >= F.lit(start).cast("date")), target, names
 
 
@@ -230,8 +233,7 @@ def common_training_data(df: DataFrame, target: str, columns: list[str], low=0.0
 def prepared_training_set(features: DataFrame, horizon=10, split_date="2025-05-01", correlation=0.99, **options):
     """Training set, cleaned, without useless columns: (frame, target, kept, removed)."""
     df, target, names = training_set(features, horizon, split_date, **options)
-    # Medians, statistics and correlations each read the frame: compute it once.
-    df = clean_numeric(materialise(df, "training"), names, to_float=False)
+    df = clean_numeric(df, names, to_float=False)
     kept, removed = remove_columns(df, names, correlation)
     return df.select("ticker", "date", *kept, target, "split"), target, kept, removed
 
@@ -294,9 +296,11 @@ def categorical_columns(df: DataFrame, columns: list[str], limit: int = 50) -> l
     integers = [c for c in columns if isinstance(types[c], (T.IntegerType, T.LongType)) and c != "ticker_id"]
     few: set[str] = set()
     if integers:
-        # A set cut off at the limit is enough to tell few values from many.
-        row = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in integers]).first()
-        few = {c for c in integers if row[c] < limit}
+        cells = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in integers
+        ])).alias("cell")).select("cell.*").where("value is not null").distinct()
+        rows = {r["name"]: r["count"] for r in cells.groupBy("name").count().collect()}
+        few = {c for c in integers if rows.get(c, 0) < limit}
     return [c for c in columns if c == "ticker_id" or isinstance(types[c], T.StringType) or c in few]
 
 

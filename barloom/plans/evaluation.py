@@ -65,6 +65,20 @@ def e6(spark, folder):
         "investment_success_rate": 7, "average_confidence": 7})
 
 
+UNEVEN = [0.9, 0.71, 0.705, 0.86, 0.93, 0.999, 0.75, 0.9]
+
+
+@query("e6_sweep_uneven_grid", sql(f"""
+SELECT t AS threshold, count(*) AS test_samples_kept, {near('avg(confidence)', 7)} AS average_confidence
+FROM (SELECT DISTINCT unnest({UNEVEN}::DOUBLE[]) AS t) g JOIN scored ON confidence >= t AND id % 11 <> 0 AND id % 13 <> 0 AND id % 17 <> 0 GROUP BY 1""", "scored"))
+def e6_uneven(spark, folder):
+    """A grid in no order, over confidence with gaps, NaN and infinity, which pass nothing."""
+    df = views.scored(spark, folder)
+    c = F.when(F.col("id") % 11 == 0, float("nan")).when(F.col("id") % 13 == 0, float("inf")).when(F.col("id") % 17 != 0, F.col("confidence"))
+    swept = ev.sweep(df.withColumn("confidence", c), UNEVEN, min_share=0.0, max_share=1.0)
+    return shown(swept, ["threshold", "test_samples_kept"], {"average_confidence": 7})
+
+
 @query("e7_profit", sql(f"SELECT id, {near(f'CASE WHEN {UP} THEN 100 * y_true ELSE 0 END', 6)} AS profit FROM scored", "scored"))
 def e7(spark, folder):
     return shown(ev.add_profit(views.scored(spark, folder)), ["id"], {"profit": 6})

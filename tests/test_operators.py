@@ -85,6 +85,27 @@ def test_sweep_kept_counts_never_rise(spark):
         assert r.test_samples_kept == df.where(F.col("confidence") >= r.threshold).count()
 
 
+def test_sweep_on_any_grid(spark):
+    df = spark.createDataFrame([(0.1, 0.2, c) for c in (0.05, 0.1, 0.26, 0.26, 0.95)], "y_true double, y_pred double, confidence double")
+
+    def kept(thresholds):
+        out = evaluate.sweep(df, thresholds, min_share=0.0, max_share=1.0).collect()
+        return {r["threshold"]: r["test_samples_kept"] for r in out}
+
+    assert kept([0.1, 0.15, 0.2, 0.25, 0.9]) == {0.1: 4, 0.15: 3, 0.2: 3, 0.25: 3, 0.9: 1}
+    assert kept([0.9, 0.2, 0.1, 0.2]) == {0.9: 1, 0.2: 3, 0.1: 4}
+    assert kept([0.26]) == {0.26: 3}
+
+
+def test_sweep_with_bad_confidence(spark):
+    rows = [(0.1, 0.2, c) for c in (0.5, 0.5, float("nan"), float("inf"), float("-inf"), None)]
+    df = spark.createDataFrame(rows, "y_true double, y_pred double, confidence double")
+    out = evaluate.sweep(df, [0.01, 0.021, 0.6], min_share=0.0, max_share=1.0).collect()
+    assert [(r["test_samples_kept"], r["average_confidence"]) for r in out] == [(2, 0.5), (2, 0.5)]
+    with pytest.raises(ValueError, match="infinite"):
+        evaluate.require_finite_confidence(df)
+
+
 def test_sweep_problems(spark):
     same = spark.range(1000).select(F.lit(0.1).alias("y_pred"), F.lit(0.5).alias("confidence"))
     assert "diversity" in evaluate.sweep_problems(same)

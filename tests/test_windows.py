@@ -130,14 +130,29 @@ def test_indicators_share_one_exchange(bars):
     assert text.count("Exchange hashpartitioning") <= 1
 
 
-@pytest.mark.parametrize("in_task", [10, 100, 10**6])
-def test_exact_quantiles_at_any_size(spark, in_task):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=4000), np.full(2500, 1.25), rng.exponential(1e6, 500)])
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": -x}))
-    got = exact_quantiles(df, ["x", "y"], [0.05, 0.5, 0.95], in_task)
-    same(got["x"], np.quantile(x, [0.05, 0.5, 0.95]))
-    same(got["y"], np.quantile(-x, [0.05, 0.5, 0.95]))
+    got = exact_quantiles(df, ["x", "y"], [0.0, 0.05, 0.5, 0.95, 1.0])
+    same(got["x"], np.quantile(x, [0.0, 0.05, 0.5, 0.95, 1.0]))
+    same(got["y"], np.quantile(-x, [0.0, 0.05, 0.5, 0.95, 1.0]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 12, 101])
+def test_exact_quantiles_of_few_values(spark, n):
+    x = np.random.default_rng(n).integers(0, 9, n).astype(float)
+    got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"], [0.05, 0.31, 0.5, 0.99])
+    same(got["x"], np.quantile(x, [0.05, 0.31, 0.5, 0.99]))
+
+
+def test_exact_quantiles_with_ties_at_both_ends(spark):
+    """Two million rows, nearly all of them zeros and tens: the median lies between, or is one of them."""
+    half = 1_000_000
+    v = F.when(F.col("id") < half, 0.0).when(F.col("id") < half + 3, F.col("id") - half + 1.0).otherwise(10.0)
+    df = spark.range(2 * half + 3).select(v.alias("x"), F.when(F.col("id") < half + 9, 0.0).otherwise(1.0).alias("y"))
+    got = exact_quantiles(df, ["x", "y"], [0.5, 0.25])
+    assert got == {"x": [2.0, 0.0], "y": [0.0, 0.0]}
 
 
 def test_exact_quantiles_of_nothing(spark):
