@@ -469,7 +469,7 @@ def category_tables(spark, folder):
 
 
 @query("j9_unified_features", sql(f"""SELECT ticker, date, t.q AS trend_value, m.q AS momentum_value, v.q AS volatility_value, u.q AS volume_value,
-  greatest(t.created_at, m.created_at, v.created_at, u.created_at) AS last_updated FROM {JOINED}""", "bars", **CT))
+  greatest(t.created_at, m.created_at, v.created_at, u.created_at) AS last_updated FROM {JOINED}""", "bars", once=True, **CT))
 def j9(spark, folder):
     from ..operators.joins import unify_categories
 
@@ -480,7 +480,7 @@ def j9(spark, folder):
 @query("a10_feature_summary", sql(f"""SELECT ticker, date, {', '.join(f"CASE WHEN {a}.q IS NOT NULL THEN {COUNTS[c]} ELSE 0 END AS {c}_features" for a, c in zip('tmvu', COUNTS))},
   {' + '.join(f"CASE WHEN {a}.q IS NOT NULL THEN {COUNTS[c]} ELSE 0 END" for a, c in zip('tmvu', COUNTS))} AS total_features,
   {near('list_avg([x for x in [t.quality_score, m.quality_score, v.quality_score, u.quality_score] if x IS NOT NULL])', 5)} AS avg_quality_score
-FROM {JOINED}""", "bars", **CT))
+FROM {JOINED}""", "bars", once=True, **CT))
 def a10(spark, folder):
     from ..operators.joins import feature_summary
 
@@ -496,7 +496,7 @@ W7 = {
 
 
 @query("w7_upsert_long_features", sql(f"""SELECT ticker, date, feature_name, feature_category, {near('coalesce(n.v, o.v)', 4)} AS overwritten,
-  {near('coalesce(o.v, n.v)', 4)} AS ignored FROM lo o FULL JOIN ln n USING (ticker, date, feature_name, feature_category)""", "bars", **W7))
+  {near('coalesce(o.v, n.v)', 4)} AS ignored FROM lo o FULL JOIN ln n USING (ticker, date, feature_name, feature_category)""", "bars", once=True, **W7))
 def w7(spark, folder):
     keys = [*K, "feature_category", "feature_name"]
     long = features.long_features(long_input(spark, folder), list(LONG))
