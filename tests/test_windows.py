@@ -130,6 +130,33 @@ def test_indicators_share_one_exchange(bars):
     assert text.count("Exchange hashpartitioning") <= 1
 
 
+@pytest.mark.parametrize("run", [4, 10, 256])
+def test_smoothing_over_gaps(spark, run):
+    """Against pandas, and for the seeded mean against its recurrence by hand, with single and long gaps and late starts."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(100, 5, 60)
+    for gap in (3, 10, 11, 12, 25, 40, 41):
+        x[gap] = np.nan
+    rows = [("A", dt.date(2024, 1, 1) + dt.timedelta(days=i), None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    rows += [("B", r[1], None if i < 4 else r[2]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "ticker string, date date, x double")
+    items = [sm.ema("e5", "x", 2 / 6, 3), sm.ema("e1", "x", 1.0, 1), sm.adjusted_ema("a", "x", 2 / 6), sm.seeded_mean("w", "x", 5), sm.seeded_mean("w1", "x", 1)]
+    out = sm.smooth(df, items, ["x"], run).toPandas().sort_values(["ticker", "date"])
+    for ticker, g in out.groupby("ticker"):
+        v = g["x"].astype(float).reset_index(drop=True)
+        same(g["e5"], v.ewm(span=5, adjust=False, min_periods=3).mean())
+        same(g["e1"], v.ffill())
+        same(g["a"], v.ewm(span=5, adjust=True).mean())
+        want, value, seen = [], 0.0, []
+        for one in v:
+            if not np.isnan(one):
+                seen.append(one)
+                value = np.mean(seen) if len(seen) == 5 else (value * 4 + one) / 5 if len(seen) > 5 else 0.0
+            want.append(value)
+        same(g["w"], want)
+        same(g["w1"], v.ffill().fillna(0.0))
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=4000), np.full(2500, 1.25), rng.exponential(1e6, 500)])
