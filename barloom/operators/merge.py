@@ -1,7 +1,7 @@
 """Upserts as pure functions merge(old, new) -> DataFrame, written out as a new version.
 
-Conflicts are settled by grouped aggregation (max_by / full outer join on the key), so a
-key that arrives many times is combined before the shuffle.
+Conflicts within a batch are settled by grouped aggregation, so a key that arrives many times is combined before the shuffle;
+stored rows meet the batch in an anti join or a full outer join on the key.
 """
 
 from __future__ import annotations
@@ -25,15 +25,18 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _pick(df, keys, F.struct(*order), True)
 
 
-def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old rows with the same key, nulls included."""
-    tagged = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return _pick(tagged, keys, F.col("_new"), False).drop("_new")
+def replace_rows(old: DataFrame, new: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
+    """New rows replace old rows with the same key, nulls included.
+
+    Only the batch is made unique (``unique`` says that it is already); stored rows are read past its keys, not grouped.
+    """
+    batch = new if unique else new.dropDuplicates(keys)
+    return old.join(batch.select(*keys), keys, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
 def upsert_bars(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """The batch is deduplicated (first wins), then overwrites what is stored."""
-    return replace_rows(old, keep_first(new, BAR_KEY, order), BAR_KEY)
+    return replace_rows(old, keep_first(new, BAR_KEY, order), BAR_KEY, unique=True)
 
 
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -242,10 +242,10 @@ def records(spark, folder):
 
 @query("a5_collection_progress", sql(f"""SELECT (SELECT count(*) FROM tickers WHERE active AND id % 3 <> 0) AS total_tickers, count(*) AS tickers_with_data,
   count(*) FILTER (newest >= DATE '{NOW}' - 30) AS recent_data_count, {near('count(*) / (SELECT count(*) FROM tickers WHERE active AND id % 3 <> 0)', 6)} AS overall_progress
-FROM (SELECT ticker_id, max(end_date) AS newest FROM filed WHERE end_date < DATE '{NOW}' GROUP BY 1)""", *S, "tickers"))
+FROM (SELECT ticker_id, max(end_date) AS newest FROM filed GROUP BY 1)""", *S, "tickers"))
 def a5(spark, folder):
     t = views.tickers(spark, folder).withColumn("has_financials", F.col("id") % 3 != 0)
-    out = fu.collection_progress(records(spark, folder).where(F.col("date") < NOW), t, NOW)
+    out = fu.collection_progress(records(spark, folder), t, NOW)
     return shown(out, ["total_tickers", "tickers_with_data", "recent_data_count"], {"overall_progress": 6})
 
 
@@ -270,11 +270,10 @@ query("x13_has_financials", sql("SELECT id, ticker, CAST(id IN (SELECT ticker_id
         views.tickers(spark, folder).select(F.col("id").alias("ticker_id"), "ticker"), "ticker_id"), "has_financials").select("id", "ticker", F.col("has_financials").cast("int").alias("has_financials")))
 
 
-@query("j11_with_recent_facts", sql("SELECT id, ticker FROM tickers WHERE id IN (SELECT ticker_id FROM filed WHERE end_date >= DATE '2000-12-01' - 180 AND net_income_loss > 1000000)", *S, "tickers"))
+@query("j11_with_recent_facts", sql("SELECT id, ticker FROM tickers WHERE id IN (SELECT ticker_id FROM filed WHERE end_date >= DATE '2000-12-01' - 180)", *S, "tickers"))
 def j11(spark, folder):
     t = views.tickers(spark, folder).select(F.col("id").alias("ticker_id"), "ticker")
-    f = facts(spark, folder).where(F.col("net_income_loss") > 1_000_000)
-    return joins.with_recent(t, f, "2000-12-01").select(F.col("ticker_id").alias("id"), "ticker")
+    return joins.with_recent(t, facts(spark, folder), "2000-12-01").select(F.col("ticker_id").alias("id"), "ticker")
 
 
 @query("j12_not_present", sql("SELECT ticker_id, date, assets FROM facts WHERE ticker_id % 4 = 0", *S, facts=FACTS))
@@ -293,7 +292,7 @@ def j13(spark, folder):
 
 @query("s25_newest_payloads", sql("SELECT ticker, max(filing_date) AS file_date FROM filed WHERE filing_date BETWEEN DATE '1999-05-10' AND DATE '1999-05-17' GROUP BY 1", *S))
 def s25(spark, folder):
-    p = views.statement_payloads(spark, folder).where(F.col("filing_date") <= "1999-05-17")
+    p = views.statement_payloads(spark, folder)
     files = p.select(F.concat(F.lit("/cache/"), "ticker", F.lit("_financials_"), F.date_format("filing_date", "yyyyMMdd"), F.lit(".json")).alias("path"), "payload")
     return storage.newest_payloads(files, "1999-05-17").select("ticker", "file_date")
 

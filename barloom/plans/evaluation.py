@@ -23,8 +23,8 @@ def confidence(name, fn, text):
 
 
 confidence("e3_confidence_margin", ev.confidence_margin, scaled("abs(y_pred)"))
-confidence("e3_confidence_simple", lambda d: ev.confidence_simple(d.where(F.col("current_price") > 0)),
-           scaled("least(greatest(abs(y_pred - current_price) / nullif(current_price, 0), 0), 1)").replace("FROM scored)", "FROM scored WHERE current_price > 0)"))
+confidence("e3_confidence_simple", ev.confidence_simple,
+           scaled("least(greatest(abs(y_pred - current_price) / nullif(current_price, 0), 0), 1)"))
 confidence("e5_confidence_tanh", ev.confidence_tanh, "SELECT id, tanh(abs(y_pred)) AS c FROM scored")
 confidence("e5_confidence_over_max", ev.confidence_over_max, "SELECT id, abs(y_pred / max(y_pred) OVER ()) AS c FROM scored")
 confidence("e5_confidence_from_mean", ev.confidence_from_mean, "SELECT id, abs(y_pred - avg(y_pred) OVER ()) AS c FROM scored")

@@ -201,12 +201,14 @@ def export_csv(df: DataFrame, path: str) -> None:
 def newest_payloads(files: DataFrame, today, max_days: int = 7) -> DataFrame:
     """Newest payload per ticker, by the date in ``TICKER_financials_YYYYMMDD...`` file names.
 
-    files: (path, payload). Older than max_days is not valid.
+    files: (path, payload). Files older than max_days, or dated after today, are not valid.
     """
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     day = F.try_to_timestamp(F.regexp_extract(name, r"_financials_(\d{8})", 1), F.lit("yyyyMMdd")).cast("date")
     dated = files.select(F.regexp_extract(name, r"^(.*)_financials_", 1).alias("ticker"), day.alias("file_date"), "payload")
-    valid = dated.where(F.col("file_date") >= F.date_sub(F.lit(today).cast("date"), max_days))
+    valid = dated.where(F.col("file_date") >= F.date_sub(F.lit(today).cast("date"), max_days)).where(
+        F.col("file_date") <= F.lit(today).cast("date")
+    )
     return valid.groupBy("ticker").agg(
         F.max("file_date").alias("file_date"), F.max_by("payload", F.struct("file_date", "payload")).alias("payload")
     )
