@@ -59,11 +59,20 @@ ALTERNATIVES = {
     "income_before_tax": ("income_loss_from_continuing_operations_before_tax",),
     "income_tax_expense": ("income_tax_expense_benefit",),
     "net_income": ("net_income_loss", "net_income_loss_attributable_to_parent"),
+    "weighted_average_shares": ("basic_average_shares",),
+    "weighted_average_shares_diluted": ("diluted_average_shares",),
+    "selling_general_administrative": ("selling_general_and_administrative_expenses",),
     "property_plant_equipment": ("fixed_assets",),
     "equity": ("equity", "equity_attributable_to_parent"),
+    "other_assets_current": ("other_current_assets",),
+    "other_assets_noncurrent": ("other_noncurrent_assets",),
+    "other_liabilities_current": ("other_current_liabilities",),
+    "other_liabilities_noncurrent": ("other_noncurrent_liabilities",),
     "operating_cash_flow": ("net_cash_flow_from_operating_activities",),
     "investing_cash_flow": ("net_cash_flow_from_investing_activities",),
     "financing_cash_flow": ("net_cash_flow_from_financing_activities",),
+    "capital_expenditures": ("payments_to_acquire_property_plant_and_equipment",),
+    "depreciation_amortization": ("depreciation_depletion_and_amortization",),
 }
 PAYLOAD = "status string, request_id string, results array<map<string,string>>, " + ", ".join(
     f"{n} array<map<string,string>>" for n in LIST_NAME.values()
@@ -425,8 +434,9 @@ def ratios(f: DataFrame) -> DataFrame:
     """Valuation (needs market_cap), profitability, liquidity and leverage; capped."""
     g = {n: _field(f, n) for n in (
         "market_cap", "revenues", "gross_profit", "operating_income_loss", "net_income_loss", "assets", "equity", "liabilities",
-        "current_assets", "current_liabilities", "inventory", "cash", "interest_expense", "long_term_debt", "depreciation_and_amortization")}
-    ebitda = g["operating_income_loss"] + g["depreciation_and_amortization"]
+        "current_assets", "current_liabilities", "inventory", "cash", "interest_expense", "long_term_debt")}
+    written_off = F.coalesce(_field(f, "depreciation_amortization"), line_item(f, "depreciation_amortization").cast("double"))
+    ebitda = g["operating_income_loss"] + written_off
     values = {
         "pe_ratio": F.try_divide(g["market_cap"], g["net_income_loss"]), "pb_ratio": F.try_divide(g["market_cap"], g["equity"]),
         "ps_ratio": F.try_divide(g["market_cap"], g["revenues"]),
@@ -526,6 +536,11 @@ def sector(sic: Column) -> Column:
     )
 
 
+def industry(sic_code: Column) -> Column:
+    """Major group of an industry code, two of its four digits."""
+    return F.floor(sic_code / 100).cast("int")
+
+
 def group_ranks(df: DataFrame, keys: list[str], metric: str, prefix: str, min_companies: int = 5) -> DataFrame:
     """Percentile (0-100), rank (1 is highest), median and relative value of a metric within
     groups of at least min_companies. Groups of any size are cut by value (functions.ranks)."""

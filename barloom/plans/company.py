@@ -183,11 +183,21 @@ def x10(spark, folder):
                     rounded(fu.growth(now, before), 6).alias("growth"), rounded(fu.cagr(now, before, 2), 6).alias("cagr"))
 
 
-@query("x11_line_item_names", sql("SELECT ticker_id, end_date, coalesce(net_income_loss, gross_profit) AS net_income, equity, operating_cash_flow FROM filed", *S))
+# Every line item's payload names get a figure of their own: the n-th name is n times the statement's revenues.
+ITEM_NAMES = list(dict.fromkeys(name for names in fu.ALTERNATIVES.values() for name in names))
+FIRST_NAME = {item: ITEM_NAMES.index(names[0]) + 1 for item, names in fu.ALTERNATIVES.items()}
+
+
+@query("x11_line_item_names", sql(f"""SELECT ticker_id, end_date, {', '.join(
+    f"{near(f'CASE WHEN ticker_id % 2 = 0 THEN {k} * revenues' + (f' ELSE {ITEM_NAMES.index(fu.ALTERNATIVES[i][1]) + 1} * revenues' if len(fu.ALTERNATIVES[i]) > 1 else '') + ' END', 4)} AS {i}"
+    for i, k in FIRST_NAME.items())} FROM filed""", *S))
 def x11(spark, folder):
-    f = views.filed(spark, folder).withColumnRenamed("operating_cash_flow", "net_cash_flow_from_operating_activities").withColumn(
-        "net_income_loss_attributable_to_parent", F.col("gross_profit"))
-    return f.select("ticker_id", "end_date", *[fu.line_item(f, n).alias(n) for n in ("net_income", "equity", "operating_cash_flow")])
+    """First names are absent for odd tickers, so that the alternatives stand in."""
+    f = views.filed(spark, folder).select("ticker_id", "end_date", F.col("revenues").alias("_r"))
+    first = {ITEM_NAMES[k - 1] for k in FIRST_NAME.values()}
+    f = f.select("ticker_id", "end_date", *[
+        F.when(F.lit(name not in first) | (F.col("ticker_id") % 2 == 0), F.col("_r") * (k + 1)).alias(name) for k, name in enumerate(ITEM_NAMES)])
+    return shown(f.select("ticker_id", "end_date", *[fu.line_item(f, i).alias(i) for i in FIRST_NAME]), ["ticker_id", "end_date"], dict.fromkeys(FIRST_NAME, 4))
 
 
 FLAT = """SELECT ticker_id, end_date, fiscal_period, fiscal_year, filing_date, revenues, net_income_loss, assets, equity, operating_cash_flow AS net_cash_flow_from_operating_activities,
@@ -382,33 +392,41 @@ def x17(spark, folder):
     return views.tickers(spark, folder).select("id", "sic_code", fu.sector(F.col("sic_code")).alias("gics_sector"))
 
 
-PEERS = f"SELECT ticker_id, ticker, date, {SECTOR} AS gics_sector, {RATIOS['roe']} AS roe FROM rich"
+METRICS = ("roe", "roa", "pe_ratio", "pb_ratio", "ps_ratio", "debt_to_equity")
+PEERS = f"SELECT ticker_id, ticker, date, {SECTOR} AS gics_sector, sic_code // 100 AS industry, {', '.join(f'{RATIOS[m]} AS {m}' for m in METRICS)} FROM rich"
 
 
 def peers(spark, folder):
-    return fu.ratios(rich(spark, folder)).select("ticker_id", "ticker", "date", fu.sector(F.col("sic_code")).alias("gics_sector"), "roe")
+    return fu.ratios(rich(spark, folder)).select(
+        "ticker_id", "ticker", "date", fu.sector(F.col("sic_code")).alias("gics_sector"), fu.industry(F.col("sic_code")).alias("industry"), *METRICS)
 
 
-def ranks_sql(part, prefix):
+def ranks_sql(part, prefix, m="roe", least=5):
     w = f"PARTITION BY {part}"
-    n = f"count(roe) OVER ({w})"
-    ok = f"{n} >= 5 AND roe IS NOT NULL"
-    return f"""SELECT ticker_id, date, {near(f'CASE WHEN {ok} THEN 100.0::DOUBLE * (rank() OVER ({w} ORDER BY roe NULLS LAST) - 1) / nullif({n} - 1, 0) END', 5)} AS roe_{prefix}_percentile,
-  CASE WHEN {ok} THEN rank() OVER ({w} ORDER BY roe DESC NULLS LAST) END AS roe_{prefix}_rank,
-  {near(f'CASE WHEN {n} >= 5 THEN quantile_cont(roe, 0.5) OVER ({w}) END', 6)} AS {prefix}_median_roe,
-  {near(f'CASE WHEN {ok} THEN roe / nullif(quantile_cont(roe, 0.5) OVER ({w}), 0) END', 5)} AS roe_relative_to_{prefix} FROM peers WHERE roe IS NOT NULL"""
+    n = f"count({m}) OVER ({w})"
+    ok = f"{n} >= {least} AND {m} IS NOT NULL"
+    return f"""SELECT ticker_id, date, {near(f'CASE WHEN {ok} THEN 100.0::DOUBLE * (rank() OVER ({w} ORDER BY {m} NULLS LAST) - 1) / nullif({n} - 1, 0) END', 5)} AS {m}_{prefix}_percentile,
+  CASE WHEN {ok} THEN rank() OVER ({w} ORDER BY {m} DESC NULLS LAST) END AS {m}_{prefix}_rank, {n} AS {prefix}_total_{m},
+  {near(f'CASE WHEN {n} >= {least} THEN quantile_cont({m}, 0.5) OVER ({w}) END', 6)} AS {prefix}_median_{m},
+  {near(f'CASE WHEN {ok} THEN {m} / nullif(quantile_cont({m}, 0.5) OVER ({w}), 0) END', 5)} AS {m}_relative_to_{prefix} FROM peers WHERE {m} IS NOT NULL"""
 
 
-def ranks(keys, prefix):
+def ranks(keys, prefix, m="roe", least=5):
     def run(spark, folder):
-        out = fu.group_ranks(peers(spark, folder).where(F.col("roe").isNotNull()), keys, "roe", prefix)
-        return shown(out, ["ticker_id", "date", f"roe_{prefix}_rank"], {f"roe_{prefix}_percentile": 5, f"{prefix}_median_roe": 6, f"roe_relative_to_{prefix}": 5})
+        out = fu.group_ranks(peers(spark, folder).where(F.col(m).isNotNull()), keys, m, prefix, least)
+        return shown(out, ["ticker_id", "date", f"{m}_{prefix}_rank", f"{prefix}_total_{m}"],
+                     {f"{m}_{prefix}_percentile": 5, f"{prefix}_median_{m}": 6, f"{m}_relative_to_{prefix}": 5})
 
     return run
 
 
 query("x18_sector_ranks", sql(ranks_sql("date, gics_sector", "sector"), *R, rich=RICH, peers=PEERS))(ranks(["date", "gics_sector"], "sector"))
 query("x18_market_ranks", sql(ranks_sql("date", "market"), *R, rich=RICH, peers=PEERS))(ranks(["date"], "market"))
+for _m in METRICS[1:]:
+    query(f"x18_sector_ranks_{_m}", sql(ranks_sql("date, gics_sector", "sector", _m), *R, rich=RICH, peers=PEERS))(ranks(["date", "gics_sector"], "sector", _m))
+for _m in METRICS:
+    # Industries are small in the test tables, so groups of any size are ranked.
+    query(f"x18_industry_ranks_{_m}", sql(ranks_sql("date, industry", "industry", _m, 1), *R, rich=RICH, peers=PEERS))(ranks(["date", "industry"], "industry", _m, 1))
 
 
 @query("x19_companies_in_sector", sql("SELECT ticker_id, ticker FROM peers WHERE gics_sector = 'Industrials' AND date = DATE '1998-06-30'", *R, rich=RICH, peers=PEERS))
