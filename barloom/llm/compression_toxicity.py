@@ -15,6 +15,7 @@ rows; a null doc_id is not held out and never learnt from; an empty table gives
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Training rows taken at most, toxic and ordinary.
-TOXIC_ROWS, ORDINARY_ROWS = 2000, 8000
+TOXIC_ROWS, ORDINARY_ROWS = 2000, 5000
 LEVEL = 10
 ORDINARY_BYTES = 1 << 16
 TOXIC_BYTES = 1 << 15
@@ -93,8 +94,10 @@ class Dictionaries:
         in_toxic, in_ordinary = Counter(), Counter()
         for words in toxic:
             in_toxic.update(set(words))
+        # A word of one text sets nothing apart.
+        several = {w for w, n in in_toxic.items() if n > 1}
         for words in ordinary:
-            in_ordinary.update(set(words))
+            in_ordinary.update(several.intersection(words))
 
         def odds(w):
             return math.log((in_toxic[w] + 0.5) / (len(toxic) + 1)) - math.log((in_ordinary[w] + 0.5) / (len(ordinary) + 1))
@@ -104,12 +107,14 @@ class Dictionaries:
             a, b, rate = in_toxic[w], in_ordinary[w], len(toxic) / (len(toxic) + len(ordinary))
             return 2 * (a * math.log(a / ((a + b) * rate)) + (b * math.log(b / ((a + b) * (1 - rate))) if b else 0.0))
 
-        apart = [w for w in in_toxic if odds(w) >= LEAST_ODDS and ratio(w) >= LEAST_RATIO]
+        apart = [w for w in several if odds(w) >= LEAST_ODDS and ratio(w) >= LEAST_RATIO]
         apart.sort(key=lambda w: (in_toxic[w] * odds(w), w))
-        plain = [w for words in ordinary for w in words]
-        random.Random(5).shuffle(plain)
-        size = ORDINARY_BYTES // 4
-        return cls(b" ".join(plain[:size])[:ORDINARY_BYTES], b" ".join([b"", *apart, b""])[-TOXIC_BYTES:])
+        draw, total = random.Random(5), sum(map(len, ordinary))
+        places = set(draw.sample(range(total), min(total, ORDINARY_BYTES // 4)))
+        each = itertools.chain.from_iterable(ordinary)
+        plain = [w for i, w in enumerate(each) if i in places]
+        draw.shuffle(plain)
+        return cls(b" ".join(plain)[:ORDINARY_BYTES], b" ".join([b"", *apart, b""])[-TOXIC_BYTES:])
 
 
 def features(excess: list[int]) -> list[float]:
@@ -133,7 +138,10 @@ class Model:
     def trained(cls, texts: list[str], labels: list[int]) -> Model:
         if len(set(labels)) < 2:
             return cls(None, np.array([float(labels[0]) if labels else 0.0]))
-        words = [windows(t) for t in texts]
+        # Equal words are one object: the training texts together have few.
+        pool: dict[bytes, bytes] = {}
+        words = [[pool.setdefault(w, w) for w in windows(t)] for t in texts]
+        del pool
 
         def dictionaries(rows):
             return Dictionaries.trained([words[i] for i in rows if labels[i]], [words[i] for i in rows if not labels[i]])
@@ -145,6 +153,7 @@ class Model:
                 pair = dictionaries(learnt)
                 unseen += [features(pair.excess(words[i])) for i in judged]
                 seen += [labels[i] for i in judged]
+                del pair
         whole = dictionaries(range(len(texts)))
         if set(seen) != {0, 1}:
             unseen, seen = [features(whole.excess(w)) for w in words], labels
