@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,34 +190,34 @@ def valid_results(features: DataFrame, columns: list[str], min_score: float = 50
 def overall_quality(features: DataFrame, columns: list[str], min_values: int = 10) -> DataFrame:
     """100 * (1 - missing) * (1 - infinite) * (1 - min(IQR outliers, 0.5)) per ticker.
 
-    Long form, so the width of the panel does not multiply the plan; quartiles are per
-    ticker and feature, hence bounded by the length of the calendar.
+    The panel stays wide and on its ticker partitioning: quartiles of all columns are one window, counts against them one
+    aggregate. A ticker's rows are bounded by the length of the calendar.
     """
-    long = features.select("ticker", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        "ticker", columns, "feature", "value"
-    )
-    finite = F.abs(F.col("value")) != float("inf")
-    bounds = long.groupBy("ticker", "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("present"),
-        F.count_if(~finite).alias("infinite"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-        F.collect_list("value").alias("values"),
-    )
-    low = F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])
-    high = F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
-    tested = F.col("present") > min_values
-    counted = bounds.withColumns({"lo": low, "hi": high}).select(
-        "ticker", "n", "present", "infinite",
-        F.when(tested, F.size(F.filter("values", lambda v: (v < F.col("lo")) | (v > F.col("hi"))))).otherwise(0).alias("outliers"),
-        F.when(tested, F.col("present")).otherwise(0).alias("tested"),
+    x = {c: F.col(c).cast("double") for c in columns}
+    framed = features.select(
+        "ticker", *[x[c].alias(f"v{i}") for i, c in enumerate(columns)],
+        *[F.count(x[c]).over(whole()).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.percentile(x[c], F.array(F.lit(0.25), F.lit(0.75))).over(whole()).alias(f"q{i}") for i, c in enumerate(columns)],
     )
-    share = F.coalesce(F.try_divide(F.sum("outliers").cast("double"), F.sum("tested").cast("double")), F.lit(0.0))
-    return counted.groupBy("ticker").agg(
-        (
-            (F.sum("present") / F.sum("n")) * (1 - F.sum("infinite") / F.sum("n"))
-            * (1 - F.least(share, F.lit(0.5))) * 100
-        ).alias("quality_score")
+
+    def outlier(i):
+        v, q = F.col(f"v{i}"), F.col(f"q{i}")
+        reach = 1.5 * (q[1] - q[0])
+        return F.when((F.col(f"n{i}") > min_values) & ((v < q[0] - reach) | (v > q[1] + reach)), 1).otherwise(0)
+
+    def each(of):
+        return reduce(add, [of(i) for i in range(len(columns))])
+
+    tested = each(lambda i: F.when(F.col(f"n{i}") > min_values, F.when(F.col(f"v{i}").isNotNull(), 1).otherwise(0)).otherwise(0))
+    counts = framed.groupBy("ticker").agg(
+        (F.count(F.lit(1)) * len(columns)).alias("n"),
+        F.sum(each(lambda i: F.when(F.col(f"v{i}").isNotNull(), 1).otherwise(0))).alias("present"),
+        F.sum(each(lambda i: F.when(F.abs(f"v{i}") == float("inf"), 1).otherwise(0))).alias("infinite"),
+        F.sum(each(outlier)).alias("outliers"), F.sum(tested).alias("tested"),
     )
+    share = F.coalesce(F.try_divide(F.col("outliers").cast("double"), F.col("tested").cast("double")), F.lit(0.0))
+    score = (F.col("present") / F.col("n")) * (1 - F.col("infinite") / F.col("n")) * (1 - F.least(share, F.lit(0.5))) * 100
+    return counts.select("ticker", score.alias("quality_score"))
 
 
 def on_weekdays(df: DataFrame, days=(0, 4), column: str = "date") -> DataFrame:
