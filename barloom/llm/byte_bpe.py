@@ -94,7 +94,7 @@ class UnitEncoder:
     space before a word; there a text can be cut, and the units have the ids they have in the whole text.
     """
 
-    def __init__(self, path: str, pattern: str, entries: int = 1_000_000, unit_chars: int = 40):
+    def __init__(self, path: str, pattern: str, entries: int = 400_000, unit_chars: int = 40):
         self.path, self.pattern, self.entries, self.unit_chars = path, pattern, entries, unit_chars
         self.known: dict[str, bytes] = {}
         self.lengths = np.array([len(token) for token in tokens(path)])

@@ -49,7 +49,7 @@ def windows(text: str) -> list[bytes]:
 class Dictionaries:
     """A pair of compressors; excess() keeps what it has measured, up to a number of windows."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, entries: int = 1_000_000):
+    def __init__(self, ordinary: bytes, toxic: bytes, entries: int = 250_000):
         self.content, self.entries = (ordinary, toxic), entries
         self.known: dict[bytes, int] = {}
         self.pair = None
