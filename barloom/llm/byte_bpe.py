@@ -221,6 +221,8 @@ def tokenised(
                 [batch.column(0), pa.array(counts), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
                 ["key", "n_tokens", "ids", "same"],
             )
+        # The worker lives on after its task.
+        unit_encoder(_path(path), pattern).known.clear()
 
     kind = docs.schema[key].dataType.simpleString()
     chosen = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -247,6 +249,8 @@ def digests(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                 ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        # The worker lives on after its task.
+        unit_encoder(_path(path), pattern).known.clear()
 
     kind = docs.schema[key].dataType.simpleString()
     chosen = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -128,6 +128,11 @@ class Model:
     def __init__(self, dictionaries: Dictionaries | None, weights: np.ndarray):
         self.dictionaries, self.weights = dictionaries, weights
 
+    def release(self) -> None:
+        """Forget the windows measured so far: the worker lives on after its task."""
+        if self.dictionaries is not None:
+            self.dictionaries.known.clear()
+
     def score(self, text: str) -> float:
         if self.dictionaries is None:
             return float(self.weights[0])
@@ -201,6 +206,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")
+        model.release()
 
     return docs.withColumn(name, run(F.coalesce(F.col(text), F.lit(""))))
 
