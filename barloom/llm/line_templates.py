@@ -1,13 +1,15 @@
 """Line dedup by a tree of log templates.
 
-Variable fields first: a leading token with a digit becomes <*>. The tree has a fixed depth: a line goes down by its number of
-tokens and by its ``LEADING`` first tokens, and its leaf is its template; the tokens further on are variable fields, too. A
-template that ``min_docs`` documents or more hold is recurring: its lines are dropped from every document but the first
-that holds it, so no template leaves the corpus.
+Variable fields first: a token with a digit becomes <*>. The tree has a fixed depth: a line goes to the leaf of its number
+of tokens and its ``LEADING`` first tokens. The line of a leaf that most documents hold (two at least) is its template; lines of
+the leaf belong to it if they agree with it in ``LIKE`` of their tokens or more, and in more than half of those beyond the
+leading ones; their other tokens are variable fields. Any other line is a template by itself. A template that ``min_docs``
+documents or more hold is recurring: its lines are dropped from every document but the first that holds it. Lines without a
+word (a token with a letter and no digit) have nothing constant, and are never dropped: they are rows of figures.
 
-All of it is DataFrame operations; the text is cut once, lines meet by the hash of their leaf, and counts combine before
-the shuffle. min_docs is above the size of ordinary groups of copied documents, which are left to near-duplicate search;
-shorter lines than ``min_tokens`` recur by chance and stay.
+All of it is DataFrame operations. Leaves are counted by their hash; the text of lines is compared only in leaves that
+enough documents hold, and counts combine before the shuffle. min_docs is above the size of ordinary groups of copied
+documents, which are left to near-duplicate search; shorter lines than ``min_tokens`` recur by chance and stay.
 
 Defined results: a null text has no lines and stays null; an empty text has one empty line; blank lines are never dropped;
 rows equal in doc_id and text count once and lose the same lines; rows with the first doc_id all keep the line; null doc_ids come
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 from barloom.functions.shared import materialise
 
 LEADING = 8
+LIKE = 0.7
 MIN_DOCS, MIN_TOKENS = 10, 3
+#: A word: a token with a letter and no digit.
+WORD = r"(?<![^ ])[^ 0-9]*\p{L}[^ 0-9]*(?![^ ])"
 #: Comes after every doc_id.
 NONE = (1 << 63) - 1
 
@@ -36,11 +41,27 @@ def token_count(line):
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
+def masked(line):
+    """A plain line with <*> for tokens with digits."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(line)
+
+
 def leaf(line):
     """Token count and leading tokens of a plain line, <*> for those with digits."""
-    lead = F.substring_index(line, " ", LEADING)
-    lead = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(lead)
-    return F.concat_ws(" ", token_count(line).cast("string"), lead)
+    return F.concat_ws(" ", token_count(line).cast("string"), masked(F.substring_index(line, " ", LEADING)))
+
+
+def alike(line, seed):
+    """Whether a masked line belongs to the template of its leaf."""
+
+    def agreeing(a, b):
+        return F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: p["a"] == p["b"]))
+
+    a, b = F.split(line, " "), F.split(seed, " ")
+    rest = F.greatest(F.size(a) - LEADING, F.lit(0))
+    constant = F.exists(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: (p["a"] == p["b"]) & p["a"].rlike(r"\p{L}"))
+    further = agreeing(F.slice(a, F.lit(LEADING + 1), rest), F.slice(b, F.lit(LEADING + 1), rest))
+    return (line == seed) | ((agreeing(a, b) >= LIKE * F.size(a)) & (2 * further > rest) & constant)
 
 
 def order_of_doc():
@@ -48,25 +69,51 @@ def order_of_doc():
 
 
 def leaves(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc, copy (hash of the text), number, leaf (hash) of the lines that are long enough."""
+    """doc, copy (hash of the text), number, leaf (hash), line (plain) of the lines that are long enough."""
     lines = docs.select(
         order_of_doc().alias("doc"), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("number", "line")
     )
     lines = lines.withColumn("line", plain(F.col("line"))).where(token_count(F.col("line")) >= min_tokens)
-    return lines.select("doc", "copy", "number", F.unhex(F.md5(leaf(F.col("line")).cast("binary"))).alias("leaf"))
+    return lines.select("doc", "copy", "number", digest(leaf(F.col("line"))).alias("leaf"), "line")
+
+
+def digest(text):
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def counted(lines: DataFrame, *keys: str) -> DataFrame:
+    """The keys with docs, the documents that hold them, and first, the first that does."""
+    by_doc = lines.groupBy(*keys, "doc", "copy").agg(F.lit(1).alias("one"))
+    return by_doc.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
+
+
+def placed(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc, copy, number, template (hash) of the lines with a word in leaves that enough documents hold."""
+    crowded = materialise(counted(lines, "leaf").where(F.col("docs") >= min_docs).select("leaf"), "leaves")
+    held = lines.join(crowded, "leaf")
+    held = materialise(held.select("doc", "copy", "number", "leaf", masked(F.col("line")).alias("line")), "lines")
+    # Here, not before the join: the pattern would run over every line of the table.
+    kinds = counted(held.where(F.col("line").rlike(WORD)), "leaf", "line")
+    seeds = kinds.where("docs > 1").groupBy("leaf").agg(F.max(F.struct("docs", "line")).alias("seed"))
+    kinds = kinds.select("leaf", "line").join(seeds.select("leaf", F.col("seed.line").alias("seed")), "leaf", "left")
+    template = F.when(F.col("seed").isNotNull() & alike(F.col("line"), F.col("seed")), F.col("seed")).otherwise(F.col("line"))
+    kinds = kinds.select("leaf", "line", digest(template).alias("template"))
+    return materialise(held.join(kinds, ["leaf", "line"]).select("doc", "copy", "number", "template"), "templates")
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """leaf, first: the templates that enough documents hold, and the first that does."""
-    by_doc = lines.groupBy("leaf", "doc", "copy").agg(F.lit(1).alias("one"))
-    counted = by_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
-    return counted.where(F.col("docs") >= min_docs).select("leaf", "first")
+    """template, first: the templates that enough documents hold, and the first that does."""
+    return _recurring(placed(lines, min_docs), min_docs)
+
+
+def _recurring(lines: DataFrame, min_docs: int) -> DataFrame:
+    return counted(lines, "template").where(F.col("docs") >= min_docs).select("template", "first")
 
 
 def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc, copy, lines: numbers of the lines to drop."""
-    lines = materialise(leaves(docs, min_tokens), "leaves")
-    gone = lines.join(recurring(lines, min_docs), "leaf").where("doc > first")
+    lines = placed(leaves(docs, min_tokens), min_docs)
+    gone = lines.join(_recurring(lines, min_docs), "template").where("doc > first")
     return gone.groupBy("doc", "copy").agg(F.collect_set("number").alias("lines"))
 
 

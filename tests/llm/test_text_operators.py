@@ -240,6 +240,17 @@ def test_line_templates_generalise_words(make_docs):
     assert line_templates.recurring(lines, 13).collect() == []
 
 
+def test_line_templates_compare_all_tokens(make_docs):
+    """Lines that only begin alike, and rows of figures, are no template."""
+    begin = "this page of the site is about the"
+    ends = "abbey bridge castle dome estuary forest garden harbour island jetty kiosk lighthouse".split()
+    pairs = [(i, f"{begin} {w}\n{begin} {w} and its long {w} story\n{i} {i + 5} {i * 7}\n| {i} | {i + 1} |\n1 2 3 4 5 6 7 8 9 {i} {w}") for i, w in enumerate(ends)]
+    out = line_templates.deduplicated(make_docs(pairs)).collect()
+    assert all(r["n_dropped"] == 0 and r["text"] == dict(pairs)[r["doc_id"]] for r in out)
+    same = [(i, f"own {w}\n{begin} old town and its story") for i, w in enumerate(ends)]
+    assert sorted(r["n_dropped"] for r in line_templates.deduplicated(make_docs(same)).collect()) == [0] + [1] * 11
+
+
 # Licences
 
 
