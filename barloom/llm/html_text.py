@@ -3,7 +3,9 @@
 A page is a sequence of tags and runs of words. Words score by the elements around them, tags score
 negative, and one linear scan finds the maximum-scoring contiguous subsequence. The text is what the region
 holds in blocks whose words score positive. Weights come from pages that label themselves: what stands in
-<article> or <main>, outside elements that never hold text of their own, is content there.
+<article> or <main>, outside elements that never hold text of their own, is content there. Names that hold the whole
+page or all of its main text tell nothing apart and are ignored: those on html and body, those on the elements around every
+<article> and <main> and on these themselves, and in pages without either those around all words.
 
 Defined results: null or empty html, and pages without any positive word, give the text ''; a null url
 stays null; repeated rows give repeated rows; an empty table gives no rows and is learnt from as such.
@@ -34,6 +36,8 @@ NEVER = frozenset(
     "map datalist search".split()
 ) | RAW
 MAIN = frozenset(["article", "main"])
+#: Elements for something else than the page's text; a form may hold the page.
+APART = (NEVER | {"header"}) - {"form"}
 #: Words of class, id and role that name boilerplate.
 JUNK = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu "
@@ -53,13 +57,36 @@ PRIOR = 50
 def labels_of(name: str, attributes: str) -> frozenset[str]:
     """What an element says about the words in it: its name, unless it is a mere container, and its classes."""
     out = {name} if name in NEVER or name in MAIN or name == "header" else set()
-    for found in NAMES.finditer(attributes):
+    for found in NAMES.finditer(attributes) if name not in ("html", "body") else ():
         out.update("." + part for part in PART.findall((found[1] or found[2] or found[3] or "").lower()))
     return frozenset(out)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, frozenset[str]]]:
-    """(kind, value, labels around): kind is 'tag' with the tag's name, or 'text' with a raw run of text."""
+def tokens(page: str) -> list[tuple[str, str, frozenset[str]]]:
+    """(kind, value, labels around): kind is 'tag' with the tag's name, or 'text' with a raw run of text.
+
+    Labels that tell nothing apart are left out.
+    """
+    parts = list(_tokens(page))
+    sets = {labels for _, _, labels in parts}
+    # The outermost main elements' surroundings, and else those of all words that stand in no element for something else.
+    held = [x for x in sets if x & MAIN and not x & APART]
+    if not held:
+        held = {labels for kind, value, labels in parts if kind == "text" and value.strip() and not labels & APART}
+    around = [frozenset(x.lstrip("^") for x in labels if x[0] == "^" or not labels & MAIN) for labels in held]
+    idle = frozenset.intersection(*around) if around else frozenset()
+
+    def told(labels: frozenset[str]) -> frozenset[str]:
+        if labels & MAIN:
+            return frozenset(x.lstrip("^") for x in labels if x[0] != "^" or x[1:] not in idle)
+        return labels - idle
+
+    kept = {labels: told(labels) for labels in sets}
+    return [(kind, value, kept[labels]) for kind, value, labels in parts]
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, frozenset[str]]]:
+    """As they stand; in main text, ^ marks names (and forms) that are on the outermost main element or around it."""
     stack: list[tuple[str, frozenset[str], frozenset[str]]] = []
     around: frozenset[str] = frozenset()
     at, end = 0, len(page)
@@ -114,9 +141,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, frozenset[str]]]:
             continue
         stack.append((name, labels_of(name, attributes), around))
         inner = stack[-1][1]
-        if "header" in inner and around & MAIN:
-            inner = inner - {"header"}
+        if around & MAIN:
+            inner = inner - {"header", ".header"}
         around = around | inner if inner else around
+        if inner & MAIN and not stack[-1][2] & MAIN:
+            around = frozenset("^" + x if x[0] == "." or x == "form" else x for x in around)
 
 
 def junk(labels: frozenset[str]) -> bool:

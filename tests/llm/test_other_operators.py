@@ -101,6 +101,26 @@ def test_pages(spark):
 # Toxicity
 
 
+def test_pages_in_wrappers_with_junk_names(spark):
+    article = "<h1 class='section-header'>Title</h1><p>Words of the text that matter here.</p><div class='ad'>Buy this</div>"
+    side = "<nav>Home Other</nav><div class='sidebar'>Side words</div>"
+    whole = f"{side}<article>{article}</article>"
+    related = "<div class='related'><article>Other story in short</article></div>"
+    pages = [
+        f"<body class='with-sidebar'>{whole}</body>",
+        f"<html class='no-menu'><body>{side}<div id='content' class='no-sidebar'><article>{article}</article>{related}</div></body>",
+        f"<body>{side}<div class='elementor-widget'><main class='has-comments'>{article}</main></div></body>",
+        f"<body><form action='/'>{whole}</form></body>",
+        f"<body>{whole}{related}</body>",
+        "<body><nav>Home</nav><div class='no-sidebar'><h1>Title</h1><p>Words of the text that matter here.</p></div></body>",
+    ]
+    rows = [(i, "u", page) for i, page in enumerate(pages)]
+    out = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == dict.fromkeys(range(len(rows)), "Title\n\nWords of the text that matter here.")
+    assert html_text.page_counts(pages[0])["warticle", True] == 8
+
+
+
 def test_toxicity_on_held_out_rows(spark, folder, make_docs):
     big = folder.replace("sf0.001", "sf0.1")
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
