@@ -42,6 +42,17 @@ NAMES = {
 SUBJECTS = ("", "This work is ", "This file is ", "This software is ", "This project is ", "This program is ", "The code is ")
 VERBS = ("Licensed under ", "Released under ", "Distributed under ", "Available under ", "Published under ")
 ARTICLES = ("", "the ", "a ", "the terms of the ")
+#: What may follow the name of a licence in a notice.
+HEADERS = (' (the "License")', ' (the "License"); you may not use this file except in compliance with the License.')
+FILES = ("LICENSE", "LICENSE.md", "LICENSE.txt", "[LICENSE](LICENSE)", "[LICENSE](LICENSE.md)", "[LICENSE.md](LICENSE.md)")
+FOLLOWING = (*HEADERS, *(f" - see the {file} file for details" for file in FILES))
+#: Identifiers of SPDX lines besides the licences' own.
+SPDX = {
+    "BSD-2-Clause": (), "BSD-3-Clause": (), "MIT": (), "ISC": (), "Apache-2.0": (), "MPL-2.0": (), "CC0-1.0": (), "CC-BY-4.0": (),
+    "CC-BY-SA-4.0": (), "CC-BY-NC-4.0": (), "CC-BY-ND-4.0": (), "CC-BY-NC-SA-4.0": (), "CC-BY-NC-ND-4.0": (), "Unlicense": (),
+    **{x: (f"{x}-only", f"{x}-or-later", f"{x}+") for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")},
+}
+EITHER = ("MIT OR Apache-2.0", "Apache-2.0 OR MIT")
 SENTENCES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
@@ -63,6 +74,10 @@ SENTENCES = {
     "promote products derived from this software without specific prior written permission.",
     "apache-use": "you may not use this file except in compliance with the License.",
     "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-obtain": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-urls": "https://www.apache.org/licenses/LICENSE-2.0",
+    "spdx": "SPDX-License-Identifier",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
     "later version.",
@@ -79,7 +94,7 @@ RULES = {
     "ISC": [("isc-grant",)],
     "BSD-2-Clause": [("bsd-grant", "bsd-source", "bsd-binary")],
     "BSD-3-Clause": [("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")],
-    "Apache-2.0": [("apache-use", "apache-copy")],
+    "Apache-2.0": [("apache-use", "apache-copy"), ("apache-use", "apache-obtain", "apache-url"), ("apache-use", "apache-obtain", "apache-urls")],
     "GPL-3.0": [("gpl-free", "gpl-hope")],
     "GPL-2.0": [("gpl2-free", "gpl-hope")],
     "Unlicense": [("unlicense",)],
@@ -92,14 +107,24 @@ def plain(sentence: str) -> str:
 
 
 def known() -> dict[str, str]:
-    """Normalised sentence -> identifier: the sentences above, and every way to write a notice with a name."""
-    out = {plain(f"{s}{v}{a}{name}"): f"notice-{licence}" for licence, names in NAMES.items() for name in names for s in SUBJECTS for v in VERBS for a in ARTICLES}
+    """Normalised sentence -> identifier: the sentences above, every way to write a notice with a name, and SPDX lines."""
+    begun = [f"{s}{v}{a}" for s in SUBJECTS for v in VERBS for a in ARTICLES]
+    named = [(licence, name) for licence, names in NAMES.items() for name in names]
+    out = {plain(f"{begin}{name}"): f"notice-{licence}" for licence, name in named for begin in begun}
+    # The longer notices, as they are commonly written; every form more makes the plan larger.
+    begun = [f"{s}Licensed under {a}" for s in ("", "This project is ", "This software is ") for a in ARTICLES[:2]]
+    out |= {plain(f"{begin}{name}{end}"): f"notice-{licence}" for licence, name in named for begin in begun for end in FOLLOWING}
+    short = {plain(x): f"id-{licence}" for licence, others in SPDX.items() for x in (licence, *others)} | {plain(x): "id-either" for x in EITHER}
+    # Without a blank after the colon the line is one sentence.
+    out |= short | {f"spdx license identifier {x}": f"spdx-{ident}" for x, ident in short.items()}
     return out | {plain(text): key for key, text in SENTENCES.items()}
 
 
 def rules() -> list[tuple[str, tuple[str, ...]]]:
     named = [(licence, (f"notice-{licence}",)) for licence in NAMES]
-    return named + [(licence, rule) for licence, several in RULES.items() for rule in several]
+    # An identifier counts right after the words that announce it.
+    announced = [(x, (f"{begin}id-{of}",)) for x in SPDX for of in ((x, "either") if x in ("MIT", "Apache-2.0") else (x,)) for begin in ("spdx>>", "spdx-")]
+    return named + announced + [(licence, rule) for licence, several in RULES.items() for rule in several]
 
 
 def sentences(text: Column) -> Column:
@@ -112,7 +137,7 @@ def identified(text: Column) -> Column:
     """Identifiers of the known sentences, in text order."""
     table = known()
     found = F.filter(F.transform(sentences(text), lambda s: F.trim(s)), lambda s: s.isin(list(table)))
-    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    pairs = F.str_to_map(F.lit(",".join(f"{sentence}:{ident}" for sentence, ident in table.items())), F.lit(","), F.lit(":"))
     return F.transform(found, lambda s: F.element_at(pairs, s))
 
 

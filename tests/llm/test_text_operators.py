@@ -267,3 +267,30 @@ def test_licences(make_docs, hard):
     assert out[50] == "MIT" and out[51] == "" and out[52] == "ISC" and out[53] == "CC-BY-NC-4.0" and out[54] == ""
     assert out[55] == "GPL-3.0 AND Proprietary" and out[4] == "" and out[5] == ""
     assert rows(licence_rules.scan(make_docs([]))) == []
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+
+
+def test_licence_headers(make_docs):
+    other = APACHE.split("\n", 1)[1]
+    wrapped = APACHE.replace("you may not use this file\n", "").replace('"License");\nyou may', '"License"); you may\n')
+    commented = ["\n".join(mark + line for line in text.split("\n")) for text in (APACHE, other, wrapped) for mark in ("", "# ", " * ", "// ")]
+    pairs = [(i, f"Copyright 2020 me\n\n{text}\n\nimport os") for i, text in enumerate(commented)]
+    pairs += [
+        (50, "# SPDX-License-Identifier: MIT\nimport os"), (51, "// SPDX-License-Identifier: GPL-2.0-only"), (52, "SPDX-License-Identifier:ISC"),
+        (53, "SPDX-License-Identifier: MIT OR Apache-2.0"), (54, "Title\nMIT\nSPDX-License-Identifier: other"),
+        (55, "## License\n\nThis project is licensed under the MIT License - see the LICENSE file for details."),
+        (56, "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details"),
+    ]
+    out = {r["doc_id"]: r["licences"] for r in licence_rules.scan(make_docs(pairs)).collect()}
+    assert [out[i] for i in range(len(commented))] == ["Apache-2.0"] * len(commented)
+    assert out[50] == out[55] == out[56] == "MIT" and out[51] == "GPL-2.0" and out[52] == "ISC"
+    assert out[53] == "Apache-2.0 AND MIT" and out[54] == ""
