@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import byte_bpe, compression_toxicity, html_text, licence_rules, line_templates, order_minhash
-from barloom.llm import projection_trees, repeated_passages, setsketch, source_mix
+from barloom.llm import projection_trees, repeated_passages, setsketch, source_mix, token_counts
 from barloom.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op2(spark, folder):
 @query("op9_licence_rules", licence_rules.oracle())
 def op9(spark, folder):
     return licence_rules.scan(table(spark, folder, "documents"))
+
+
+@query("op13_token_counts")
+def op13(spark, folder):
+    return token_counts.token_counts(table(spark, folder, "documents"))
