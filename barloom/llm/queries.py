@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import byte_bpe, compression_toxicity, html_text, licence_rules, line_templates, order_minhash
-from barloom.llm import projection_trees, repeated_passages, setsketch, source_mix, token_counts
+from barloom.llm import phrase_stripes, prefix_trie, projection_trees, repeated_passages, setsketch, source_mix, token_counts
 from barloom.llm.workers import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,13 @@ def op9(spark, folder):
 @query("op13_token_counts")
 def op13(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"))
+
+
+@query("op12_phrase_stripes", phrase_stripes.ORACLE)
+def op12(spark, folder):
+    return phrase_stripes.collocations(table(spark, folder, "documents"))
+
+
+@query("op11_prefix_trie")
+def op11(spark, folder):
+    return prefix_trie.trie(table(spark, folder, "conversations"))
