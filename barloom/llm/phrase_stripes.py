@@ -7,10 +7,10 @@ the total of a prefix's stripe is the count of the prefix itself, and it goes as
 stripes of four-word prefixes are merged first, and the stripe of the empty prefix, whose entries are the words
 and whose total is the number of all words, comes last. The largest entries are what a phrase's longer phrases have.
 
-A stripe is dealt into parts by its next words, so a hot prefix is many rows. Windows end early where two
-neighbouring words stand together too rarely for any phrase: pairs are counted in ``2 ** bits`` buckets over all texts first,
-and a pair may be frequent if its bucket is. The buckets' bits (2 MB at 24 bits) are broadcast; their number does not grow with the
-data. Where buckets are shared by many pairs, fewer windows end early, which costs more shuffled bytes but no result.
+A stripe is dealt into parts by its next words, so a hot prefix is many rows. Windows end early where their words stand
+together too rarely for a phrase: pairs, and then the longer runs of pairs left, are counted in ``2 ** bits`` buckets over all texts
+first, and a run may be frequent if its bucket is. The buckets' bits (8 MB each time at 26 bits) are broadcast; their number does
+not grow with the data. Where many runs share buckets, fewer windows end early, which costs more shuffled bytes but no result.
 
 Defined results: a null lang counts as ``und``; null and empty texts have no words; repeated rows count as often as they come;
 an empty table gives no rows; other columns of the input, doc_id too, are ignored.
@@ -32,7 +32,7 @@ from barloom.functions.shared import materialise
 from barloom.llm.words import MIX, chunks, mixed, word_hashes
 
 LONGEST = 5
-BITS, BLOCK = 24, 1 << 16
+BITS, BLOCK = 26, 1 << 16
 #: Parts of a stripe, by the number of words in its prefix.
 PARTS = (64, 16, 4, 4, 4)
 #: Copies of the counts that cut phrases are looked up in, so that a common first word is no hot key.
@@ -64,34 +64,82 @@ def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Arr
             yield lang, *coded_pieces(texts[start:stop])
 
 
-def pair_buckets(lang: str, codes: np.ndarray, vocabulary: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose word has a next one in its piece, and the bucket of each such pair."""
-    places = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
-    hashes = word_hashes(vocabulary.to_pylist(), xxhash.xxh3_64_intdigest(lang.encode()))
-    first, second = hashes[codes[places]], hashes[codes[places + 1]]
-    return places, (mixed(first * MIX + second) >> np.uint64(64 - bits)).astype(np.int64)
+class Runs:
+    """Hashes of the runs of words that start at each place, and whether they may be frequent."""
+
+    def __init__(self, lang: str, codes: np.ndarray, vocabulary: pa.Array, bits: int):
+        self.bits, self.words = bits, np.zeros(len(codes) + LONGEST, dtype=np.uint64)
+        self.inside = np.zeros(len(codes) + LONGEST, dtype=bool)
+        self.inside[: len(codes)] = codes >= 0
+        hashes = word_hashes(vocabulary.to_pylist(), xxhash.xxh3_64_intdigest(lang.encode()))
+        self.words[: len(codes)][codes >= 0] = hashes[codes[codes >= 0]]
+        self.runs, self.length = self.words.copy(), 1
+
+    def longer(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a run of one more word starts, of those in ``at`` with a next word, and the runs' buckets."""
+        places = np.flatnonzero(at & np.roll(self.inside, -self.length))
+        self.runs[places] = mixed(self.runs[places] * MIX + self.words[places + self.length])
+        self.length += 1
+        return places, (self.runs[places] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def marked(self, places: np.ndarray, buckets: np.ndarray, filled: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.words), dtype=bool)
+        out[places] = (filled[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8)) & 1
+        return out
+
+
+def next_to(marks: np.ndarray) -> np.ndarray:
+    """Places whose run is marked and the one that starts a word later too."""
+    return marks & np.roll(marks, -1)
+
+
+def counted_buckets(lang: str, codes: np.ndarray, vocabulary: pa.Array, bits: int, pairs: np.ndarray | None) -> np.ndarray:
+    """Buckets of all pairs; given the pairs' bits, of the longer runs whose pairs may all be frequent."""
+    runs = Runs(lang, codes, vocabulary, bits)
+    places, buckets = runs.longer(runs.inside)
+    if pairs is None:
+        return buckets
+    linked = runs.marked(places, buckets, pairs)
+    at, out = linked, []
+    for k in range(1, LONGEST - 1):
+        at = at & np.roll(linked, -k)
+        out.append(runs.longer(at)[1])
+    return np.concatenate(out)
+
+
+def extensions(lang: str, codes: np.ndarray, vocabulary: pa.Array, bits: int, pairs: np.ndarray, longer: np.ndarray) -> list[np.ndarray]:
+    """Per number of words, from one on: where a window may have one more."""
+    runs = Runs(lang, codes, vocabulary, bits)
+    out = [runs.marked(*runs.longer(runs.inside), pairs)]
+    while len(out) < LONGEST - 1:
+        out.append(runs.marked(*runs.longer(next_to(out[-1])), longer))
+    return out
 
 
 def prepared(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def frequent_pairs(docs: DataFrame, at_least: int, bits: int = BITS) -> np.ndarray:
-    """Packed bits of the buckets that hold at least so many pairs, over all texts of (lang, text)."""
-    kind = np.dtype(np.uint8 if at_least < 256 else np.uint32)
+def frequent_buckets(docs: DataFrame, at_least: int, bits: int = BITS, pairs=None) -> np.ndarray:
+    """Packed bits of the buckets that hold at least so many runs, over all texts of (lang, text).
+
+    Runs are pairs or, with a broadcast of the pairs' bits, the longer ones.
+    """
+    kind = np.dtype(np.uint8 if at_least < 128 else np.uint32)
     block = min(BLOCK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << bits, dtype=np.uint32)
+        # Counters stop at at_least, so a byte is enough for small ones.
+        counters = np.zeros(1 << bits, dtype=kind)
         for batch in batches:
             for found in by_language(batch):
-                np.add.at(counters, pair_buckets(*found, bits)[1], 1)
-        np.minimum(counters, at_least, out=counters)
+                places, n = np.unique(counted_buckets(*found, bits, pairs.value if pairs else None), return_counts=True)
+                counters[places] = np.minimum(counters[places] + np.minimum(n, at_least), at_least).astype(kind)
         for k in range(len(counters) // block):
             part = counters[k * block : (k + 1) * block]
             filled = np.flatnonzero(part)
             if len(filled):
-                at, n = filled.astype(np.uint16).tobytes(), part[filled].astype(kind).tobytes()
+                at, n = filled.astype(np.uint16).tobytes(), part[filled].tobytes()
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "at": [at], "n": [n]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +169,8 @@ def frequent_pairs(docs: DataFrame, at_least: int, bits: int = BITS) -> np.ndarr
     return out
 
 
-def windows(codes: np.ndarray, vocabulary: pa.Array, joined: np.ndarray) -> pa.Table:
-    """level, prefix, next, n of the windows of one run of texts; joined: whether the pair at a place goes on."""
+def windows(codes: np.ndarray, vocabulary: pa.Array, extended: list[np.ndarray]) -> pa.Table:
+    """level, prefix, next, n of the windows of some texts."""
     size, parts = len(vocabulary), []
     texts = pa.array([""], pa.large_string())
     places = np.flatnonzero(codes >= 0)
@@ -132,7 +180,7 @@ def windows(codes: np.ndarray, vocabulary: pa.Array, joined: np.ndarray) -> pa.T
         parents, words = pa.array(found // size), pa.array(found % size)
         prefix, word = texts.take(parents), vocabulary.take(words)
         texts = pc.binary_join_element_wise(prefix, word, pa.scalar(" ", word.type)) if level else word
-        more = joined[places + level] if level + 1 < LONGEST else np.zeros(len(places), dtype=bool)
+        more = extended[level][places] if level + 1 < LONGEST else np.zeros(len(places), dtype=bool)
         ended = np.bincount(ids[~more], minlength=len(found))
         table = pa.table({"level": pa.array(np.full(len(found), level, dtype=np.int32)), "prefix": prefix, "next": word, "n": pa.array(ended)})
         parts.append(table.filter(pa.array(ended > 0)))
@@ -147,18 +195,15 @@ def dealt(words: pa.ChunkedArray, levels: np.ndarray) -> np.ndarray:
     return (sums[coded.indices.to_numpy()] % np.array(PARTS)[levels]).astype(np.int32)
 
 
-def stripes(docs: DataFrame, pairs, bits: int = BITS) -> DataFrame:
-    """Rows STRIPES of what each task read; pairs: broadcast of frequent_pairs."""
+def stripes(docs: DataFrame, pairs, longer, bits: int = BITS) -> DataFrame:
+    """Rows STRIPES of what each task read; pairs and longer: broadcasts of frequent_buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in batch.column(0).unique().to_pylist():
                 own, parts, rows = batch.filter(pc.equal(batch.column(0), lang)), [], 0
                 for _, codes, vocabulary in by_language(own):
-                    places, buckets = pair_buckets(lang, codes, vocabulary, bits)
-                    joined = np.zeros(len(codes) + 1, dtype=bool)
-                    joined[places] = (pairs.value[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8)) & 1
-                    parts.append(windows(codes, vocabulary, joined))
+                    parts.append(windows(codes, vocabulary, extensions(lang, codes, vocabulary, bits, pairs.value, longer.value)))
                     rows += len(parts[-1])
                     if rows > 2_000_000:
                         parts = [added(parts)]
@@ -235,8 +280,10 @@ def merge_stripes(rows: DataFrame, at_least: int) -> DataFrame:
 
 def merged_levels(docs: DataFrame, at_least: int, bits: int = BITS) -> list[DataFrame]:
     """Merged stripes by the number of words in the prefix, none first; (lang, text) in."""
-    pairs = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, at_least, bits))
-    emitted = materialise(stripes(docs, pairs, bits), "stripes")
+    context = docs.sparkSession.sparkContext
+    pairs = context.broadcast(frequent_buckets(docs, at_least, bits))
+    longer = context.broadcast(frequent_buckets(docs, at_least, bits, pairs))
+    emitted = materialise(stripes(docs, pairs, longer, bits), "stripes")
     out: list[DataFrame] = []
     for level in reversed(range(LONGEST)):
         rows = emitted.where(F.col("level") == level)

@@ -85,11 +85,15 @@ def test_empty_table(make):
     assert run(make(some_rows(1)).limit(0)) == [] == run(make([(None, "en")]))
 
 
-def test_pairs_are_counted_over_all_tasks(make):
-    docs = ps.prepared(make([("a b", "en"), ("c d", "en")] * 30 + [("c d", "en")] * 70).repartition(7))
-    bits = np.unpackbits(ps.frequent_pairs(docs, 100, 16))
-    _, at = ps.pair_buckets("en", *ps.coded_pieces(["c d"]), 16)
-    assert bits.sum() == 1 and bits[at[0]]
+def test_runs_are_counted_over_all_tasks(make, spark):
+    docs = ps.prepared(make([("a b x", "en"), ("c d e", "en")] * 30 + [("c d e", "en")] * 70).repartition(7))
+    pairs = ps.frequent_buckets(docs, 100, 16)
+    found = ps.coded_pieces(["c d e"])
+    assert np.unpackbits(pairs).sum() == 2 and np.unpackbits(pairs)[ps.counted_buckets("en", *found, 16, None)].all()
+    longer = ps.frequent_buckets(docs, 100, 16, spark.sparkContext.broadcast(pairs))
+    assert np.unpackbits(longer).sum() == 1 and np.unpackbits(longer)[ps.counted_buckets("en", *found, 16, pairs)].all()
+    marks = ps.extensions("en", *ps.coded_pieces(["c d e", "a b x"]), 16, pairs, longer)
+    assert [list(np.flatnonzero(m)) for m in marks] == [[0, 1], [0], [], []]
 
 
 def test_stripes_merge_elementwise(spark):
@@ -101,8 +105,7 @@ def test_stripes_merge_elementwise(spark):
 
 def test_windows():
     codes, words = ps.coded_pieces(["a b a b. c"])
-    joined = np.zeros(len(codes) + 1, dtype=bool)
-    joined[[0, 1, 2]] = True
-    got = {(r["prefix"], r["next"]): r["n"] for r in ps.windows(codes, words, joined).to_pylist()}
+    extended = [np.isin(np.arange(len(codes)), at) for at in ([0, 1, 2], [0, 1], [0], [])]
+    got = {(r["prefix"], r["next"]): r["n"] for r in ps.windows(codes, words, extended).to_pylist()}
     assert got == {("a b a", "b"): 1, ("b a", "b"): 1, ("a", "b"): 1, ("", "b"): 1, ("", "c"): 1}
     assert isinstance(words, pa.Array)
