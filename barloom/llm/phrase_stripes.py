@@ -7,7 +7,8 @@ the total of a prefix's stripe is the count of the prefix itself, and it goes as
 stripes of four-word prefixes are merged first, and the stripe of the empty prefix, whose entries are the words
 and whose total is the number of all words, comes last. The largest entries are what a phrase's longer phrases have.
 
-A stripe is dealt into parts by its next words, so a hot prefix is many rows. Windows end early where their words stand
+A stripe is dealt into parts by its next words, one for every ``PART`` times that its prefix can stand in the corpus at most, so
+a part stays small and a hot prefix is many rows; the bound is the count of the prefix's rarest word, or of words with its hash. Windows end early where their words stand
 together too rarely for a phrase: pairs, and then the longer runs of pairs left, are counted in ``2 ** bits`` buckets over all texts
 first, and a run may be frequent if its bucket is. The buckets' bits (8 MB each time at 26 bits) are broadcast; their number does
 not grow with the data. Where many runs share buckets, fewer windows end early, which costs more shuffled bytes but no result.
@@ -33,14 +34,14 @@ from barloom.llm.words import MIX, chunks, mixed, word_hashes
 
 LONGEST = 5
 BITS, BLOCK = 26, 1 << 16
-#: Parts of a stripe, by the number of words in its prefix.
-PARTS = (64, 16, 4, 4, 4)
+#: Buckets that words are counted in, and occurrences of a prefix per part of its stripe.
+WORD_BITS, PART, MOST_PARTS = 20, 1 << 16, 1 << 12
 #: Copies of the counts that cut phrases are looked up in, so that a common first word is no hot key.
 SALTS = 8
 SEPARATORS = r"[.,;:!?\n\x0B\f\r]+"
 
 STRIPES = "lang string, level int, prefix string, part int, next array<string>, n array<long>"
-MERGED = "lang string, level int, prefix string, part int, total long, next array<string>, n array<long>"
+MERGED = STRIPES + ", total long, up_prefix string, up_next string, up_part int"
 
 
 def coded_pieces(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
@@ -116,14 +117,39 @@ def extensions(lang: str, codes: np.ndarray, vocabulary: pa.Array, bits: int, pa
     return out
 
 
+class Parts:
+    """How stripes are dealt, from the counts of words by bucket."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.total = words, int(words.sum())
+
+    def of(self, lang: str, prefixes: list[str]) -> np.ndarray:
+        seed, known, out = xxhash.xxh3_64_intdigest(lang.encode()), {}, np.ones(len(prefixes), dtype=np.int64)
+        for i, prefix in enumerate(prefixes):
+            count = self.total
+            for word in prefix.split(" ") if prefix else ():
+                if word not in known:
+                    known[word] = int(self.words[xxhash.xxh3_64_intdigest(word.encode(), seed) >> (64 - WORD_BITS)])
+                count = min(count, known[word])
+            out[i] = min(MOST_PARTS, 1 << (count // PART).bit_length())
+        return out
+
+    def dealt(self, lang: str, prefixes: pa.Array, nexts: pa.Array) -> np.ndarray:
+        """The part of its stripe that each next word goes to."""
+        before, after = prefixes.dictionary_encode(), nexts.dictionary_encode()
+        parts = self.of(lang, before.dictionary.to_pylist())[before.indices.to_numpy()]
+        sums = np.array([zlib.crc32(w.encode()) for w in after.dictionary.to_pylist()], dtype=np.int64)
+        return (sums[after.indices.to_numpy()] % parts).astype(np.int32)
+
+
 def prepared(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def frequent_buckets(docs: DataFrame, at_least: int, bits: int = BITS, pairs=None) -> np.ndarray:
-    """Packed bits of the buckets that hold at least so many runs, over all texts of (lang, text).
+def frequent_buckets(docs: DataFrame, at_least: int, bits: int = BITS, pairs=None) -> tuple[np.ndarray, np.ndarray]:
+    """Packed bits of the buckets that hold at least so many runs, over all texts of (lang, text), and counts of words by bucket.
 
-    Runs are pairs or, with a broadcast of the pairs' bits, the longer ones.
+    Runs are pairs or, with a broadcast of the pairs' bits, the longer ones; then words are not counted again.
     """
     kind = np.dtype(np.uint8 if at_least < 128 else np.uint32)
     block = min(BLOCK, 1 << bits)
@@ -131,8 +157,11 @@ def frequent_buckets(docs: DataFrame, at_least: int, bits: int = BITS, pairs=Non
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Counters stop at at_least, so a byte is enough for small ones.
         counters = np.zeros(1 << bits, dtype=kind)
+        words = np.zeros(1 << WORD_BITS, dtype=np.int64)
         for batch in batches:
             for found in by_language(batch):
+                if not pairs:
+                    add_words(words, *found)
                 places, n = np.unique(counted_buckets(*found, bits, pairs.value if pairs else None), return_counts=True)
                 counters[places] = np.minimum(counters[places] + np.minimum(n, at_least), at_least).astype(kind)
         for k in range(len(counters) // block):
@@ -141,12 +170,19 @@ def frequent_buckets(docs: DataFrame, at_least: int, bits: int = BITS, pairs=Non
             if len(filled):
                 at, n = filled.astype(np.uint16).tobytes(), part[filled].tobytes()
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "at": [at], "n": [n]})
+        # Blocks below 0 hold words.
+        for k in range(len(words) // BLOCK):
+            part = words[k * BLOCK : (k + 1) * BLOCK]
+            filled = np.flatnonzero(part)
+            if len(filled):
+                at, n = filled.astype(np.uint16).tobytes(), part[filled].tobytes()
+                yield pa.RecordBatch.from_pydict({"block": pa.array([-1 - k], pa.int32()), "at": [at], "n": [n]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sums = None, np.zeros(block, dtype=np.uint32)
+        current, sums = None, np.zeros(BLOCK, dtype=np.int64)
 
         def done() -> pa.RecordBatch:
-            packed = np.packbits(sums >= at_least).tobytes()
+            packed = (sums if current < 0 else np.packbits(sums[:block] >= at_least)).tobytes()
             return pa.RecordBatch.from_pydict({"block": pa.array([current], pa.int32()), "bits": [packed]})
 
         for batch in batches:
@@ -156,17 +192,25 @@ def frequent_buckets(docs: DataFrame, at_least: int, bits: int = BITS, pairs=Non
                         yield done()
                     current = k
                     sums[:] = 0
-                places = np.frombuffer(at, dtype=np.uint16)
-                sums[places] = np.minimum(sums[places] + np.frombuffer(n, dtype=kind), at_least)
+                sums[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(n, dtype=np.int64 if k < 0 else kind)
         if current is not None:
             yield done()
 
     counted = docs.mapInArrow(count, "block int, at binary, n binary")
     rows = counted.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary").collect()
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    out, words = np.zeros((1 << bits) // 8, dtype=np.uint8), np.zeros(1 << WORD_BITS, dtype=np.int64)
     for k, packed in rows:
-        out[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(packed, dtype=np.uint8)
-    return out
+        if k < 0:
+            words[(-1 - k) * BLOCK : -k * BLOCK] = np.frombuffer(packed, dtype=np.int64)
+        else:
+            out[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(packed, dtype=np.uint8)
+    return out, words
+
+
+def add_words(counts: np.ndarray, lang: str, codes: np.ndarray, vocabulary: pa.Array) -> None:
+    hashes = word_hashes(vocabulary.to_pylist(), xxhash.xxh3_64_intdigest(lang.encode()))
+    n = np.bincount(codes[codes >= 0], minlength=len(hashes))
+    np.add.at(counts, (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), n)
 
 
 def windows(codes: np.ndarray, vocabulary: pa.Array, extended: list[np.ndarray]) -> pa.Table:
@@ -188,17 +232,11 @@ def windows(codes: np.ndarray, vocabulary: pa.Array, extended: list[np.ndarray])
     return pa.concat_tables(parts)
 
 
-def dealt(words: pa.ChunkedArray, levels: np.ndarray) -> np.ndarray:
-    """The part of its stripe that each next word goes to."""
-    coded = words.combine_chunks().dictionary_encode()
-    sums = np.array([zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-    return (sums[coded.indices.to_numpy()] % np.array(PARTS)[levels]).astype(np.int32)
-
-
-def stripes(docs: DataFrame, pairs, longer, bits: int = BITS) -> DataFrame:
-    """Rows STRIPES of what each task read; pairs and longer: broadcasts of frequent_buckets."""
+def stripes(docs: DataFrame, pairs, longer, words, bits: int = BITS) -> DataFrame:
+    """Rows STRIPES of what each task read; pairs, longer and words: broadcasts of frequent_buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = Parts(words.value)
         for batch in batches:
             for lang in batch.column(0).unique().to_pylist():
                 own, parts, rows = batch.filter(pc.equal(batch.column(0), lang)), [], 0
@@ -208,13 +246,14 @@ def stripes(docs: DataFrame, pairs, longer, bits: int = BITS) -> DataFrame:
                     if rows > 2_000_000:
                         parts = [added(parts)]
                         rows = 0
-                yield from rows_of(lang, added(parts))
+                yield from rows_of(lang, added(parts), deal)
 
     def added(parts: list[pa.Table]) -> pa.Table:
         return pa.concat_tables(parts).group_by(["level", "prefix", "next"]).aggregate([("n", "sum")]).rename_columns(["level", "prefix", "next", "n"])
 
-    def rows_of(lang: str, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.append_column("part", pa.array(dealt(table["next"], table["level"].to_numpy())) if len(table) else pa.array([], pa.int32()))
+    def rows_of(lang: str, table: pa.Table, deal: Parts) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        table = table.append_column("part", pa.array(deal.dealt(lang, *(table[c].combine_chunks() for c in ("prefix", "next")))))
         out = table.group_by(["level", "prefix", "part"]).aggregate([("next", "list"), ("n", "list")])
         strings = pa.list_(pa.string())
         out = pa.table(
@@ -228,8 +267,9 @@ def stripes(docs: DataFrame, pairs, longer, bits: int = BITS) -> DataFrame:
     return docs.mapInArrow(run, STRIPES)
 
 
-def merge_stripes(rows: DataFrame, at_least: int) -> DataFrame:
-    """Stripes added elementwise: rows MERGED with the total of each part and its entries of at least so much."""
+def merge_stripes(rows: DataFrame, at_least: int, words) -> DataFrame:
+    """Stripes added elementwise: rows MERGED with the total of each part, its entries of at least so much, and the entry of
+    the stripe one word shorter that the total goes to."""
     keys = ["lang", "level", "prefix", "part"]
     kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
     schema = pa.schema(list(zip([*keys, "next", "n"], kinds)))
@@ -272,8 +312,15 @@ def merge_stripes(rows: DataFrame, at_least: int) -> DataFrame:
         large = cells.filter(pc.greater_equal(cells["n"], at_least)).sort_by("id")
         ends = np.concatenate([[0], np.cumsum(np.bincount(large["id"].to_numpy(), minlength=len(first)))]).astype(np.int32)
         lists = {c: pa.ListArray.from_arrays(pa.array(ends), large[c].combine_chunks()) for c in ("next", "n")}
-        out = pa.table({**{k: first[k] for k in keys}, "total": pa.array(totals), **lists})
-        yield from out.to_batches()
+        up = [prefix.rsplit(" ", 1) if " " in prefix else ["", prefix] for prefix in first["prefix"].to_pylist()]
+        shorter, last = (pa.array(list(c), pa.string()) for c in zip(*up)) if up else (pa.array([], pa.string()),) * 2
+        part = np.zeros(len(first), dtype=np.int32)
+        langs = first["lang"].combine_chunks()
+        for lang in langs.unique().to_pylist():
+            own = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
+            part[own] = Parts(words.value).dealt(lang, shorter.take(pa.array(own)), last.take(pa.array(own)))
+        more = {"total": pa.array(totals), "up_prefix": shorter, "up_next": last, "up_part": pa.array(part)}
+        yield from pa.table({**{k: first[k] for k in keys}, **lists, **more}).to_batches()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, MERGED)
 
@@ -281,25 +328,16 @@ def merge_stripes(rows: DataFrame, at_least: int) -> DataFrame:
 def merged_levels(docs: DataFrame, at_least: int, bits: int = BITS) -> list[DataFrame]:
     """Merged stripes by the number of words in the prefix, none first; (lang, text) in."""
     context = docs.sparkSession.sparkContext
-    pairs = context.broadcast(frequent_buckets(docs, at_least, bits))
-    longer = context.broadcast(frequent_buckets(docs, at_least, bits, pairs))
-    emitted = materialise(stripes(docs, pairs, longer, bits), "stripes")
+    pairs, words = map(context.broadcast, frequent_buckets(docs, at_least, bits))
+    longer = context.broadcast(frequent_buckets(docs, at_least, bits, pairs)[0])
+    emitted = materialise(stripes(docs, pairs, longer, words, bits), "stripes")
     out: list[DataFrame] = []
     for level in reversed(range(LONGEST)):
         rows = emitted.where(F.col("level") == level)
         if out:
-            words = F.split("prefix", " ")
-            shorter, last = F.array_join(F.slice(words, 1, level), " "), F.element_at(words, -1)
-            rows = rows.unionByName(
-                out[0].select(
-                    "lang", F.lit(level).alias("level"), shorter.alias("prefix"), last.alias("next"),
-                    F.array("total").alias("n"),
-                ).select(
-                    "lang", "level", "prefix", (F.crc32(F.col("next").cast("binary")) % PARTS[level]).cast("int").alias("part"),
-                    F.array("next").alias("next"), "n",
-                )
-            )
-        out.insert(0, materialise(merge_stripes(rows, at_least), f"stripes-{level}"))
+            up = [F.col("up_prefix").alias("prefix"), F.col("up_part").alias("part"), F.array("up_next").alias("next"), F.array("total").alias("n")]
+            rows = rows.unionByName(out[0].select("lang", F.lit(level).alias("level"), *up))
+        out.insert(0, materialise(merge_stripes(rows, at_least, words), f"stripes-{level}"))
     return out
 
 

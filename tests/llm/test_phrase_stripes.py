@@ -87,10 +87,11 @@ def test_empty_table(make):
 
 def test_runs_are_counted_over_all_tasks(make, spark):
     docs = ps.prepared(make([("a b x", "en"), ("c d e", "en")] * 30 + [("c d e", "en")] * 70).repartition(7))
-    pairs = ps.frequent_buckets(docs, 100, 16)
+    pairs, words = ps.frequent_buckets(docs, 100, 16)
+    assert words.sum() == 390 and words.max() == 100
     found = ps.coded_pieces(["c d e"])
     assert np.unpackbits(pairs).sum() == 2 and np.unpackbits(pairs)[ps.counted_buckets("en", *found, 16, None)].all()
-    longer = ps.frequent_buckets(docs, 100, 16, spark.sparkContext.broadcast(pairs))
+    longer, _ = ps.frequent_buckets(docs, 100, 16, spark.sparkContext.broadcast(pairs))
     assert np.unpackbits(longer).sum() == 1 and np.unpackbits(longer)[ps.counted_buckets("en", *found, 16, pairs)].all()
     marks = ps.extensions("en", *ps.coded_pieces(["c d e", "a b x"]), 16, pairs, longer)
     assert [list(np.flatnonzero(m)) for m in marks] == [[0, 1], [0], [], []]
@@ -98,9 +99,20 @@ def test_runs_are_counted_over_all_tasks(make, spark):
 
 def test_stripes_merge_elementwise(spark):
     rows = [("en", 1, "the", 0, ["cat", "dog"], [2, 1]), ("en", 1, "the", 0, ["dog", ""], [4, 1]), ("en", 1, "a", 0, ["cat"], [1])]
-    out = {r.prefix: r for r in ps.merge_stripes(spark.createDataFrame(rows, ps.STRIPES), 2).collect()}
+    words = spark.sparkContext.broadcast(np.zeros(1 << ps.WORD_BITS, dtype=np.int64))
+    out = {r.prefix: r for r in ps.merge_stripes(spark.createDataFrame(rows, ps.STRIPES), 2, words).collect()}
     assert dict(zip(out["the"]["next"], out["the"]["n"])) == {"cat": 2, "dog": 5} and out["the"].total == 8
     assert out["a"]["next"] == [] and out["a"].total == 1
+    assert {(r.up_prefix, r.up_next, r.up_part) for r in out.values()} == {("", "the", 0), ("", "a", 0)}
+
+
+def test_hot_stripes_are_dealt_into_parts(make, monkeypatch):
+    monkeypatch.setattr(ps, "PART", 8)
+    rows = some_rows(7)
+    assert run(make(rows), at_least=3) == plain(rows, 3)
+    counts = np.zeros(1 << ps.WORD_BITS, dtype=np.int64)
+    ps.add_words(counts, "en", *ps.coded_pieces(["the cat the dog " * 30]))
+    assert ps.Parts(counts).of("en", ["", "the", "the cat", "owl"]).tolist() == [16, 8, 4, 1]
 
 
 def test_windows():
