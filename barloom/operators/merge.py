@@ -101,18 +101,27 @@ def set_flag(tickers: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return out.withColumn(column, F.coalesce("_hit", base)).drop("_hit")
 
 
+#: What an update of an article can change, and the lists that replace stored ones when they are not empty.
+ARTICLE_FIELDS = ("title", "description", "quality_score", "relevance_score", "keywords")
+ARTICLE_LISTS = ("tickers", "insights")
+
+
+def article_batch(new: DataFrame, title_chars: int | None = None) -> DataFrame:
+    """Titles cut where the store has a limit, tickers in upper case."""
+    title = F.col("title") if title_chars is None else F.substring("title", 1, title_chars)
+    return new.withColumns({"title": title, "tickers": F.transform("tickers", lambda t: F.upper(t))})
+
+
 def upsert_articles(old: DataFrame, new: DataFrame, title_chars: int | None = None) -> DataFrame:
     """Articles with nested children: changed fields are updated, non-empty child lists replace.
 
     Adds outcome: new, updated, skipped (nothing to change), kept (not in the batch). Titles stay whole unless
     title_chars is given, for stores with a column of limited width.
     """
-    fields = ("title", "description", "quality_score", "relevance_score", "keywords")
-    lists = ("tickers", "insights")
+    fields, lists = ARTICLE_FIELDS, ARTICLE_LISTS
     # Set once, at the insert.
     fixed = [c for c in old.columns if c not in fields + lists + ("polygon_id",)]
-    title = F.col("title") if title_chars is None else F.substring("title", 1, title_chars)
-    cut = new.withColumns({"title": title, "tickers": F.transform("tickers", lambda t: F.upper(t))})
+    cut = article_batch(new, title_chars)
     o = old.select("polygon_id", *[F.col(c).alias(f"_o_{c}") for c in [*fields, *lists, *fixed]], F.lit(1).alias("_in_old"))
     n = cut.select("polygon_id", *[F.col(c).alias(f"_n_{c}") for c in [*fields, *lists, *fixed]], F.lit(1).alias("_in_new"))
     both = F.col("_in_new").isNotNull() & F.col("_in_old").isNotNull()

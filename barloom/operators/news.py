@@ -247,10 +247,14 @@ STORED = (
 )
 
 
+def storable(prepared: DataFrame) -> DataFrame:
+    """Valid articles with a publication time, in the store's columns."""
+    return prepared.where("is_valid").withColumn("published_at", published()).where(F.col("published_at").isNotNull()).select(*STORED)
+
+
 def store_batch(stored: DataFrame, prepared: DataFrame) -> DataFrame:
     """Valid articles merged into the store; outcome per article (see merge.upsert_articles)."""
-    new = prepared.where("is_valid").withColumn("published_at", published()).where(F.col("published_at").isNotNull()).select(*STORED)
-    return merge.upsert_articles(stored.select(*STORED), new)
+    return merge.upsert_articles(stored.select(*STORED), storable(prepared))
 
 
 def batch_counts(prepared: DataFrame, merged: DataFrame) -> DataFrame:

@@ -72,10 +72,10 @@ VIEWS = {
 }
 
 
-def sql(body: str, *views: str, once: bool = False, **ctes: str) -> str:
+def sql(body: str, *views: str, once: bool = False, recursive: bool = False, **ctes: str) -> str:
     """body behind a WITH list of the named views and extra CTEs, in order; ``once`` has each of them computed once."""
     word = "AS MATERIALIZED" if once else "AS"
     parts = [f"{v} {word} ({VIEWS[v]})" for v in views]
     parts += [f"{name} {word} ({text})" for name, text in ctes.items()]
-    return f"WITH {', '.join(parts)}\n{body}" if parts else body
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)}\n{body}" if parts else body
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import dividends, evaluate, features, fundamentals, ingest, merge, model, news, prepare, validate
+from barloom.operators import dividends, evaluate, features, fundamentals, ingest, merge, news, prepare, validate
 from barloom.sources import storage
 
 D = dt.date
@@ -291,17 +291,3 @@ def test_drop_last_dates_is_strict(spark):
 def test_swap_in():
     assert prepare.swap_in(["a", "b", "c"], ["x"], 3) == ["a", "b", "x"]
     assert prepare.swap_in(["a"], ["x"], 3) == ["a", "x"]
-
-
-def test_models_beat_the_mean(spark):
-    df = spark.range(600).select(
-        ((F.col("id") * 37 % 101) / 101.0).alias("a"), ((F.col("id") * 53 % 97) / 97.0).alias("b"), F.col("id"))
-    df = df.withColumn("y", F.col("a") * 3 - F.col("b")).withColumn("close", F.lit(10.0))
-    train, test = df.where("id < 450"), df.where("id >= 450")
-    for kind, params in (("gbt", {"maxIter": 5}), ("forest", {"numTrees": 5})):
-        m = model.fit(train, ["a", "b"], "y", kind, **params)
-        r = model.scored_frame(m, test, "y").agg(F.avg(F.pow(F.col("y_true") - F.col("y_pred"), 2)).alias("e"), F.var_pop("y_true").alias("v")).first()
-        assert r.e < 0.3 * r.v
-    assert model.top_by_importance(train, ["a", "b"], "y", 1, required=(), maxIter=3) == ["a"]
-    staged = model.tree_predictions(model.fit(train, ["a", "b"], "y", maxIter=4), test, 2).first().tree_predictions
-    assert len(staged) == 2
