@@ -8,7 +8,9 @@ stripes of four-word prefixes are merged first, and the stripe of the empty pref
 and whose total is the number of all words, comes last. The largest entries are what a phrase's longer phrases have.
 
 A stripe is dealt into parts by its next words, one for every ``PART`` times that its prefix can stand in the corpus at most, so
-a part stays small and a hot prefix is many rows; the bound is the count of the prefix's rarest word, or of words with its hash. Windows end early where their words stand
+a part stays small however hot the prefix; the bound is the count of the prefix's rarest word, or of words with its hash. The stripes
+of a task that belong to one shard (a hash of prefix and part) travel as one row; there is a shard for every ``SHARD`` words
+of the corpus, which bounds what is merged at a time. Windows end early where their words stand
 together too rarely for a phrase: pairs, and then the longer runs of pairs left, are counted in ``2 ** bits`` buckets over all texts
 first, and a run may be frequent if its bucket is. The buckets' bits (8 MB each time at 26 bits) are broadcast; their number does
 not grow with the data. Where many runs share buckets, fewer windows end early, which costs more shuffled bytes but no result.
@@ -36,12 +38,14 @@ LONGEST = 5
 BITS, BLOCK = 26, 1 << 16
 #: Buckets that words are counted in, and occurrences of a prefix per part of its stripe.
 WORD_BITS, PART, MOST_PARTS = 20, 1 << 16, 1 << 12
+#: Words of the corpus per shard, and the least number of shards.
+SHARD, SHARDS = 1 << 22, 64
 #: Copies of the counts that cut phrases are looked up in, so that a common first word is no hot key.
 SALTS = 8
 SEPARATORS = r"[.,;:!?\n\x0B\f\r]+"
 
-STRIPES = "lang string, level int, prefix string, part int, next array<string>, n array<long>"
-MERGED = STRIPES + ", total long, up_prefix string, up_next string, up_part int"
+STRIPES = "lang string, level int, shard int, prefix array<string>, next array<string>, n array<long>"
+MERGED = "lang string, level int, shard int, prefix string, total long, next array<string>, n array<long>, up_prefix string, up_next string, up_shard int"
 
 
 def coded_pieces(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
@@ -122,6 +126,7 @@ class Parts:
 
     def __init__(self, words: np.ndarray):
         self.words, self.total = words, int(words.sum())
+        self.shards = max(SHARDS, 1 << (self.total // SHARD).bit_length())
 
     def of(self, lang: str, prefixes: list[str]) -> np.ndarray:
         seed, known, out = xxhash.xxh3_64_intdigest(lang.encode()), {}, np.ones(len(prefixes), dtype=np.int64)
@@ -134,12 +139,15 @@ class Parts:
             out[i] = min(MOST_PARTS, 1 << (count // PART).bit_length())
         return out
 
-    def dealt(self, lang: str, prefixes: pa.Array, nexts: pa.Array) -> np.ndarray:
-        """The part of its stripe that each next word goes to."""
+    def shard(self, lang: str, prefixes: pa.Array, nexts: pa.Array) -> np.ndarray:
+        """The shard of each entry: all of one prefix and part go to the same."""
         before, after = prefixes.dictionary_encode(), nexts.dictionary_encode()
-        parts = self.of(lang, before.dictionary.to_pylist())[before.indices.to_numpy()]
+        names = before.dictionary.to_pylist()
+        parts = self.of(lang, names)[before.indices.to_numpy()]
+        hashes = word_hashes(names)[before.indices.to_numpy()]
         sums = np.array([zlib.crc32(w.encode()) for w in after.dictionary.to_pylist()], dtype=np.int64)
-        return (sums[after.indices.to_numpy()] % parts).astype(np.int32)
+        part = (sums[after.indices.to_numpy()] % parts).astype(np.uint64)
+        return (mixed(hashes * MIX + part) % np.uint64(self.shards)).astype(np.int32)
 
 
 def prepared(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -253,40 +261,40 @@ def stripes(docs: DataFrame, pairs, longer, words, bits: int = BITS) -> DataFram
 
     def rows_of(lang: str, table: pa.Table, deal: Parts) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        table = table.append_column("part", pa.array(deal.dealt(lang, *(table[c].combine_chunks() for c in ("prefix", "next")))))
-        out = table.group_by(["level", "prefix", "part"]).aggregate([("next", "list"), ("n", "list")])
+        table = table.append_column("shard", pa.array(deal.shard(lang, *(table[c].combine_chunks() for c in ("prefix", "next")))))
+        out = table.group_by(["level", "shard"]).aggregate([(c, "list") for c in ("prefix", "next", "n")])
         strings = pa.list_(pa.string())
         out = pa.table(
             {
-                "lang": pa.array([lang] * len(out), pa.string()), "level": out["level"], "prefix": out["prefix"].cast(pa.string()),
-                "part": out["part"], "next": out["next_list"].cast(strings), "n": out["n_list"],
+                "lang": pa.array([lang] * len(out), pa.string()), "level": out["level"], "shard": out["shard"],
+                "prefix": out["prefix_list"].cast(strings), "next": out["next_list"].cast(strings), "n": out["n_list"],
             }
         )
-        yield from out.to_batches(20_000)
+        yield from out.to_batches(5_000)
 
     return docs.mapInArrow(run, STRIPES)
 
 
 def merge_stripes(rows: DataFrame, at_least: int, words) -> DataFrame:
-    """Stripes added elementwise: rows MERGED with the total of each part, its entries of at least so much, and the entry of
-    the stripe one word shorter that the total goes to."""
-    keys = ["lang", "level", "prefix", "part"]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    schema = pa.schema(list(zip([*keys, "next", "n"], kinds)))
+    """Stripes added elementwise: rows MERGED with the total of each part of a stripe, its entries of at least so much, and
+    the entry of the stripe one word shorter that the total goes to."""
+    keys, cells = ["lang", "level", "shard"], ["prefix", "next", "n"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip([*keys, *cells], kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        deal, held = Parts(words.value), None
         for batch in batches:
             if len(batch):
                 table = pa.Table.from_batches([batch]).cast(schema)
                 done, held = added(pa.concat_tables([held, table]) if held is not None else table)
-                yield from finished(*done)
+                yield from finished(*done, deal)
         if held is not None:
             done, _ = added(held, last=True)
-            yield from finished(*done)
+            yield from finished(*done, deal)
 
     def added(table: pa.Table, last: bool = False):
-        """Merged rows of all keys but the last, whose sum is held as one row."""
+        """Merged entries of all shards but the last, which is held as one row."""
         table = table.combine_chunks()
         fresh = np.zeros(len(table), dtype=bool)
         for k in keys:
@@ -294,33 +302,42 @@ def merge_stripes(rows: DataFrame, at_least: int, words) -> DataFrame:
             fresh[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
         ids = np.cumsum(fresh)
         first = table.select(keys).take(pa.array(np.flatnonzero(np.concatenate([[True], fresh[1:]]))))
-        nexts, counts = table["next"].combine_chunks(), table["n"].combine_chunks()
-        of = ids[pc.list_parent_indices(nexts).to_numpy()]
-        cells = pa.table({"id": of, "next": nexts.flatten(), "n": counts.flatten()})
-        cells = cells.group_by(["id", "next"]).aggregate([("n", "sum")]).rename_columns(["id", "next", "n"])
+        lists = {c: table[c].combine_chunks() for c in cells}
+        of = ids[pc.list_parent_indices(lists["n"]).to_numpy()]
+        sums = pa.table({"id": of, **{c: x.flatten() for c, x in lists.items()}})
+        sums = sums.group_by(["id", "prefix", "next"]).aggregate([("n", "sum")]).rename_columns(["id", *cells])
         n_done = len(first) if last else len(first) - 1
-        rest = cells.filter(pc.equal(cells["id"], n_done))
+        rest = sums.filter(pc.equal(sums["id"], n_done))
         held = None
         if not last:
-            lists = {c: pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest[c].combine_chunks()) for c in ("next", "n")}
-            held = pa.table({**{k: first[k].slice(n_done) for k in keys}, **lists}).cast(schema)
-        return (first.slice(0, n_done), cells.filter(pc.less(cells["id"], n_done))), held
-
-    def finished(first: pa.Table, cells: pa.Table) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(len(first), dtype=np.int64)
-        np.add.at(totals, cells["id"].to_numpy(), cells["n"].to_numpy())
-        large = cells.filter(pc.greater_equal(cells["n"], at_least)).sort_by("id")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(large["id"].to_numpy(), minlength=len(first)))]).astype(np.int32)
-        lists = {c: pa.ListArray.from_arrays(pa.array(ends), large[c].combine_chunks()) for c in ("next", "n")}
-        up = [prefix.rsplit(" ", 1) if " " in prefix else ["", prefix] for prefix in first["prefix"].to_pylist()]
-        shorter, last = (pa.array(list(c), pa.string()) for c in zip(*up)) if up else (pa.array([], pa.string()),) * 2
-        part = np.zeros(len(first), dtype=np.int32)
-        langs = first["lang"].combine_chunks()
+            whole = {c: pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest[c].combine_chunks()) for c in cells}
+            held = pa.table({**{k: first[k].slice(n_done) for k in keys}, **whole}).cast(schema)
+        return (first.slice(0, n_done), sums.filter(pc.less(sums["id"], n_done))), held
+
+    def finished(first: pa.Table, sums: pa.Table, deal: Parts) -> Iterator[pa.RecordBatch]:
+        if not len(sums):
+            return
+        # One row per shard and prefix.
+        sums = sums.combine_chunks()
+        coded = sums["prefix"].combine_chunks().dictionary_encode()
+        code = sums["id"].to_numpy() * len(coded.dictionary) + coded.indices.to_numpy()
+        found, of = np.unique(code, return_inverse=True)
+        totals = np.zeros(len(found), dtype=np.int64)
+        np.add.at(totals, of, sums["n"].to_numpy())
+        large = np.flatnonzero(sums["n"].to_numpy() >= at_least)
+        large = large[np.argsort(of[large], kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of[large], minlength=len(found)))]).astype(np.int32)
+        lists = {c: pa.ListArray.from_arrays(pa.array(ends), sums[c].combine_chunks().take(pa.array(large))) for c in ("next", "n")}
+        prefixes = coded.dictionary.take(pa.array(found % len(coded.dictionary)))
+        own = first.take(pa.array(found // len(coded.dictionary)))
+        up = [prefix.rsplit(" ", 1) if " " in prefix else ["", prefix] for prefix in prefixes.to_pylist()]
+        shorter, last = (pa.array(list(c), pa.string()) for c in zip(*up))
+        shards, langs = np.zeros(len(found), dtype=np.int32), own["lang"].combine_chunks()
         for lang in langs.unique().to_pylist():
-            own = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
-            part[own] = Parts(words.value).dealt(lang, shorter.take(pa.array(own)), last.take(pa.array(own)))
-        more = {"total": pa.array(totals), "up_prefix": shorter, "up_next": last, "up_part": pa.array(part)}
-        yield from pa.table({**{k: first[k] for k in keys}, **lists, **more}).to_batches()
+            at = pa.array(np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False)))
+            shards[at.to_numpy()] = deal.shard(lang, shorter.take(at), last.take(at))
+        columns = {**{k: own[k] for k in keys}, "prefix": prefixes, "total": pa.array(totals), **lists}
+        yield from pa.table({**columns, "up_prefix": shorter, "up_next": last, "up_shard": pa.array(shards)}).to_batches()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, MERGED)
 
@@ -335,7 +352,7 @@ def merged_levels(docs: DataFrame, at_least: int, bits: int = BITS) -> list[Data
     for level in reversed(range(LONGEST)):
         rows = emitted.where(F.col("level") == level)
         if out:
-            up = [F.col("up_prefix").alias("prefix"), F.col("up_part").alias("part"), F.array("up_next").alias("next"), F.array("total").alias("n")]
+            up = [F.col("up_shard").alias("shard"), F.array("up_prefix").alias("prefix"), F.array("up_next").alias("next"), F.array("total").alias("n")]
             rows = rows.unionByName(out[0].select("lang", F.lit(level).alias("level"), *up))
         out.insert(0, materialise(merge_stripes(rows, at_least, words), f"stripes-{level}"))
     return out

@@ -98,16 +98,18 @@ def test_runs_are_counted_over_all_tasks(make, spark):
 
 
 def test_stripes_merge_elementwise(spark):
-    rows = [("en", 1, "the", 0, ["cat", "dog"], [2, 1]), ("en", 1, "the", 0, ["dog", ""], [4, 1]), ("en", 1, "a", 0, ["cat"], [1])]
+    rows = [("en", 1, 5, ["the", "the", "a"], ["cat", "dog", "cat"], [2, 1, 1]), ("en", 1, 5, ["the", "the"], ["dog", "owl"], [4, 1]), ("en", 1, 6, ["the"], ["x"], [2])]
     words = spark.sparkContext.broadcast(np.zeros(1 << ps.WORD_BITS, dtype=np.int64))
-    out = {r.prefix: r for r in ps.merge_stripes(spark.createDataFrame(rows, ps.STRIPES), 2, words).collect()}
-    assert dict(zip(out["the"]["next"], out["the"]["n"])) == {"cat": 2, "dog": 5} and out["the"].total == 8
-    assert out["a"]["next"] == [] and out["a"].total == 1
-    assert {(r.up_prefix, r.up_next, r.up_part) for r in out.values()} == {("", "the", 0), ("", "a", 0)}
+    out = {(r["shard"], r.prefix): r for r in ps.merge_stripes(spark.createDataFrame(rows, ps.STRIPES), 2, words).collect()}
+    the = out[5, "the"]
+    assert dict(zip(the["next"], the["n"])) == {"cat": 2, "dog": 5} and the.total == 8 and len(out) == 3
+    assert out[5, "a"]["next"] == [] and out[5, "a"].total == 1
+    assert {(r.up_prefix, r.up_next) for r in out.values()} == {("", "the"), ("", "a")}
 
 
 def test_hot_stripes_are_dealt_into_parts(make, monkeypatch):
     monkeypatch.setattr(ps, "PART", 8)
+    monkeypatch.setattr(ps, "SHARD", 100)
     rows = some_rows(7)
     assert run(make(rows), at_least=3) == plain(rows, 3)
     counts = np.zeros(1 << ps.WORD_BITS, dtype=np.int64)
