@@ -190,31 +190,34 @@ def valid_results(features: DataFrame, columns: list[str], min_score: float = 50
 def overall_quality(features: DataFrame, columns: list[str], min_values: int = 10) -> DataFrame:
     """100 * (1 - missing) * (1 - infinite) * (1 - min(IQR outliers, 0.5)) per ticker.
 
-    The panel stays wide and on its ticker partitioning: quartiles of all columns are one window, counts against them one
-    aggregate. A ticker's rows are bounded by the length of the calendar.
+    One aggregate turns the panel into one row per ticker with the sorted values of every column; quartiles and counts
+    follow from these arrays. A ticker's rows are bounded by the length of the calendar.
     """
-    x = {c: F.col(c).cast("double") for c in columns}
-    framed = features.select(
-        "ticker", *[x[c].alias(f"v{i}") for i, c in enumerate(columns)],
-        *[F.count(x[c]).over(whole()).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile(x[c], F.array(F.lit(0.25), F.lit(0.75))).over(whole()).alias(f"q{i}") for i, c in enumerate(columns)],
-    )
-
-    def outlier(i):
-        v, q = F.col(f"v{i}"), F.col(f"q{i}")
-        reach = 1.5 * (q[1] - q[0])
-        return F.when((F.col(f"n{i}") > min_values) & ((v < q[0] - reach) | (v > q[1] + reach)), 1).otherwise(0)
-
-    def each(of):
-        return reduce(add, [of(i) for i in range(len(columns))])
-
-    tested = each(lambda i: F.when(F.col(f"n{i}") > min_values, F.when(F.col(f"v{i}").isNotNull(), 1).otherwise(0)).otherwise(0))
-    counts = framed.groupBy("ticker").agg(
-        (F.count(F.lit(1)) * len(columns)).alias("n"),
-        F.sum(each(lambda i: F.when(F.col(f"v{i}").isNotNull(), 1).otherwise(0))).alias("present"),
-        F.sum(each(lambda i: F.when(F.abs(f"v{i}") == float("inf"), 1).otherwise(0))).alias("infinite"),
-        F.sum(each(outlier)).alias("outliers"), F.sum(tested).alias("tested"),
-    )
+    values = [F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(columns)]
+    sorted_ = features.groupBy("ticker").agg((F.count(F.lit(1)) * len(columns)).alias("n"), *values)
+
+    def quantile(s, q):
+        at = (F.size(s) - 1) * q
+        low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    def of(i):
+        s = F.col(f"s{i}")
+        low, high = quantile(s, 0.25), quantile(s, 0.75)
+        reach = 1.5 * (high - low)
+        ends = F.transform(F.array(F.struct((low - reach).alias("low"), (high + reach).alias("high"))), lambda e: F.size(F.filter(s, lambda v: (v < e["low"]) | (v > e["high"]))))
+        tested = F.size(s) > min_values
+        return F.struct(
+            F.size(s).alias("present"), F.size(F.filter(s, lambda v: F.abs(v) == float("inf"))).alias("infinite"),
+            F.when(tested, F.size(s)).otherwise(0).alias("tested"), F.when(tested, F.coalesce(ends[0], F.lit(0))).otherwise(0).alias("outliers"),
+        )
+
+    counts = sorted_.select("ticker", "n", F.array(*[of(i) for i in range(len(columns))]).alias("counts"))
+
+    def total(name):
+        return F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c[name]).alias(name)
+
+    counts = counts.select("ticker", "n", *[total(x) for x in ("present", "infinite", "tested", "outliers")])
     share = F.coalesce(F.try_divide(F.col("outliers").cast("double"), F.col("tested").cast("double")), F.lit(0.0))
     score = (F.col("present") / F.col("n")) * (1 - F.col("infinite") / F.col("n")) * (1 - F.least(share, F.lit(0.5))) * 100
     return counts.select("ticker", score.alias("quality_score"))

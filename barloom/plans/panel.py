@@ -10,7 +10,7 @@ from ..functions.shared import fresh_path
 from ..operators import aggregates, dividends, features, merge, trend, validate
 from ..sources import storage, views
 from . import indicators as ind
-from .common import near, query, shown
+from .common import near, query, rounded, shown
 from .indicators import flag, lag, roll
 from .views import sql
 
@@ -68,9 +68,10 @@ FULL_CTES = FULL_CTES | {
 ALL_COLUMNS = {c: d for part in (FULL, CANDLE, RETURNS, VRATIO, GAPS, TARGETS) for c, (_, d) in part.items()}
 
 
-@query("f6_all_features", sql(
-    "SELECT * FROM x1 JOIN x2 USING (ticker, date) JOIN x3 USING (ticker, date) JOIN x4 USING (ticker, date) JOIN x5 USING (ticker, date)",
-    "bars", **FULL_CTES))
+WHOLE = "SELECT * FROM x1 JOIN x2 USING (ticker, date) JOIN x3 USING (ticker, date) JOIN x4 USING (ticker, date) JOIN x5 USING (ticker, date)"
+
+
+@query("f6_all_features", sql(WHOLE, "bars", **FULL_CTES))
 def f6(spark, folder):
     return shown(features.all_features(views.bars(spark, folder)), K, ALL_COLUMNS)
 
@@ -241,29 +242,26 @@ def f12(spark, folder):
     return shown(out, ["id"], {"predicted_price": 5, "bounded_price": 5})
 
 
-LONG = {"SMA_5": roll("avg", "close", 5), "OBV_SMA_10": roll("avg", "volume", 10), "Return_1D": f"close / {lag('close')} - 1",
-        "BB_Width": "high - low", "Volume_MA_10": "volume * 20000000", "ROC_10": f"100 * (close / {lag('close', 10)} - 1)"}
+LONG = ("SMA_5", "OBV_SMA_10", "Return_1D", "BB_Width", "Volume_MA_10", "ROC_10")
+LONG_CTES = FULL_CTES | {"fx": WHOLE}
 LONG_SQL = " UNION ALL ".join(
-    f"SELECT ticker, date, '{c}' AS feature_name, CAST({e} AS DOUBLE) AS v, '{validate.category_of(c)}' AS feature_category FROM bars" for c, e in LONG.items())
+    f"SELECT ticker, date, '{c}' AS feature_name, CAST(\"{c}\" AS DOUBLE) AS v, '{validate.category_of(c)}' AS feature_category FROM fx" for c in LONG)
 
 
 def long_input(spark, folder):
-    b = views.bars(spark, folder)
-    b = trend.sma(b, (5,)).withColumns({
-        "OBV_SMA_10": ind.volume.rolling_mean("volume", 10), "BB_Width": F.col("high") - F.col("low"),
-        "Volume_MA_10": (F.col("volume") * 20_000_000).cast("double")})
-    return ind.momentum.roc(features.returns(b, (1,)), (10,))
+    """One column per category of the whole panel; what the others need is pruned."""
+    return shown(features.all_features(views.bars(spark, folder)), K, {c: ALL_COLUMNS[c] for c in LONG})
 
 
-@query("f13_long_features", sql(f"SELECT ticker, date, feature_name, feature_category, {near('v', 5)} AS feature_value FROM ({LONG_SQL}) WHERE abs(v) < 1e9", "bars"))
+@query("f13_long_features", sql(f"SELECT ticker, date, feature_name, feature_category, {near('v', 5)} AS feature_value FROM ({LONG_SQL}) WHERE abs(v) < 1e9", "bars", **LONG_CTES))
 def f13(spark, folder):
     return shown(features.long_features(long_input(spark, folder), list(LONG)), [*K, "feature_name", "feature_category"], {"feature_value": 5})
 
 
-@query("f14_feature_batch", sql(f"""SELECT b.ticker, b.date, {near(roll('avg', 'close', 50), 5)} AS "SMA_50" FROM bars b
-WHERE ticker IN (SELECT t.ticker FROM tickers t JOIN bars USING (ticker) WHERE t.active AND t.type = 'CS' GROUP BY 1 HAVING count(*) >= 285)""", "bars", "tickers"))
+@query("f14_feature_batch", sql(f"""SELECT * FROM ({WHOLE}) WHERE ticker IN (
+  SELECT t.ticker FROM tickers t JOIN bars USING (ticker) WHERE t.active AND t.type = 'CS' GROUP BY 1 HAVING count(*) >= 285)""", "bars", "tickers", **FULL_CTES))
 def f14(spark, folder):
-    return shown(features.feature_batch(views.bars(spark, folder), views.tickers(spark, folder), 285), K, {"SMA_50": 5})
+    return shown(features.feature_batch(views.bars(spark, folder), views.tickers(spark, folder), 285), K, ALL_COLUMNS)
 
 
 @query("f14_batch_results", sql("""SELECT ticker, count(*) AS records, CASE WHEN count(*) >= 290 THEN 'success' ELSE 'failed' END AS status,
@@ -281,31 +279,30 @@ def a13(spark, folder):
 
 # Quality of computed features --------------------------------------------------------
 
-QCOLS = ["SMA_20", "SMA_200", "Return_5D", "Volume_Range_Ratio", "Body_Size"]
-Q_SQL = {"SMA_20": roll("avg", "close", 20), "SMA_200": roll("avg", "close", 200), "Return_5D": f"close / {lag('close', 5)} - 1",
-         "Volume_Range_Ratio": "volume / nullif(high - low, 0)", "Body_Size": "abs(close - open)"}
-Q_CTE = {"qf": "SELECT ticker, date, " + ", ".join(f'{e} AS "{c}"' for c, e in Q_SQL.items()) + " FROM bars"}
+#: Every numeric column of the panel.
+QCOLS = [c for c in ALL_COLUMNS if not c.startswith("Target_Date_")]
+Q_CTE = FULL_CTES | {"qf": WHOLE}
 Q_MISSING = " + ".join(f'count(*) - count("{c}")' for c in QCOLS)
+Q_SCORE = f"100 * (1 - ({Q_MISSING}) / (count(*) * {len(QCOLS)}.0::DOUBLE))"
 
 
 def quality_input(spark, folder):
-    b = trend.sma(views.bars(spark, folder), (20, 200))
-    return features.candles(features.volume_ratios(features.returns(b, (5,))))
+    return shown(features.all_features(views.bars(spark, folder)), K, {c: ALL_COLUMNS[c] for c in QCOLS})
 
 
 @query("v11_valid_results", sql(f"""SELECT ticker, date FROM qf WHERE ticker IN (
-  SELECT ticker FROM qf GROUP BY 1 HAVING 100 * (1 - ({Q_MISSING}) / (count(*) * 5.0)) >= 84.5)""", "bars", **Q_CTE))
+  SELECT ticker FROM qf GROUP BY 1 HAVING {Q_SCORE} >= 95.6)""", "bars", **Q_CTE))
 def v11(spark, folder):
-    return validate.valid_results(quality_input(spark, folder), QCOLS, 84.5).select(*K)
+    return validate.valid_results(quality_input(spark, folder), QCOLS, 95.6).select(*K)
 
 
-@query("v12_category_quality", sql(f"""SELECT ticker, {near(f'100 * (1 - ({Q_MISSING}) / (count(*) * 5.0::DOUBLE))', 5)} AS quality_score, 0 AS has_infinite
+@query("v12_category_quality", sql(f"""SELECT ticker, {near(Q_SCORE, 5)} AS quality_score, 0 AS has_infinite
 FROM qf GROUP BY 1""", "bars", **Q_CTE))
 def v12(spark, folder):
     return shown(validate.category_quality(quality_input(spark, folder), QCOLS), ["ticker", "has_infinite"], {"quality_score": 5})
 
 
-Q_LONG = " UNION ALL ".join(f"SELECT ticker, '{c}' AS f, \"{c}\" AS v FROM qf" for c in QCOLS)
+Q_LONG = "SELECT ticker, unnest([" + ", ".join(f"'{c}'" for c in QCOLS) + "]) AS f, unnest([" + ", ".join(f'"{c}"::DOUBLE' for c in QCOLS) + "]) AS v FROM qf"
 
 
 @query("v13_overall_quality", sql(f"""
@@ -313,16 +310,15 @@ SELECT ticker, {near('100.0::DOUBLE * (sum(present) / sum(n)) * (1 - least(coale
   SELECT ticker, f, count(*) AS n, count(v) AS present, CASE WHEN count(v) > 10 THEN count(v) ELSE 0 END AS tested,
     CASE WHEN count(v) > 10 THEN count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) ELSE 0 END AS outliers
   FROM ql JOIN (SELECT ticker, f, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM ql GROUP BY 1, 2) USING (ticker, f)
-  GROUP BY 1, 2) GROUP BY 1""", "bars", **Q_CTE, ql=Q_LONG))
+  GROUP BY 1, 2) GROUP BY 1""", "bars", once=True, **Q_CTE, ql=Q_LONG))
 def v13(spark, folder):
     return shown(validate.overall_quality(quality_input(spark, folder), QCOLS), ["ticker"], {"quality_score": 4})
 
 
-@query("v16_category_columns", sql(f"""SELECT ticker, date, {near(roll('avg', 'close', 5), 5)} AS "SMA_5", {near(roll('avg', 'volume', 10), 5)} AS "OBV_SMA_10" FROM bars""", "bars"))
+@query("v16_category_columns", sql("SELECT ticker, date, \"SMA_5\", \"OBV_SMA_10\" FROM fx", "bars", **LONG_CTES))
 def v16(spark, folder):
-    df = long_input(spark, folder)
     chosen = validate.columns_in(list(LONG), ["trend"])
-    return shown(df, K, {c: 5 for c in chosen})
+    return long_input(spark, folder).select(*K, *chosen)
 
 
 @query("v17_checked_settings", sql("SELECT ticker FROM bars GROUP BY 1 HAVING count(*) >= 280", "bars"))
@@ -445,40 +441,44 @@ def j8(spark, folder):
     return with_company(views.scored(spark, folder), views.tickers(spark, folder)).select("id", "ticker", "company_name")
 
 
+#: Table of a category: its columns, and the column without which it has no row.
 CATEGORY_TABLES = {
-    "trend": "volume % 2 = 0", "momentum": "volume % 3 = 0", "volatility": "volume % 5 = 0", "volume": "volume % 7 = 0",
+    "trend": (ind.TREND, "SMA_50"), "momentum": (ind.MOMENTUM, "Stoch_D"), "volatility": (ind.VOLATILITY, "Volatility_Std_10"),
+    "volume": (ind.VOLUME, "VPT_Momentum_5"),
 }
-COUNTS = {"trend": 27, "momentum": 34, "volatility": 33, "volume": 64}
-CT = {
-    f"c_{c}": f"SELECT ticker, date, CAST(volume + {i} AS DOUBLE) AS q, CASE WHEN volume % 4 = 0 THEN NULL ELSE CAST(volume + {i} AS DOUBLE) END AS quality_score, "
-              f"date + {i} AS created_at FROM bars WHERE {cond}"
-    for i, (c, cond) in enumerate(CATEGORY_TABLES.items())
+COUNTS = {c: len(columns) for c, (columns, _) in CATEGORY_TABLES.items()}
+CT = FULL_CTES | {
+    f"c_{c}": f"""SELECT *, {near(f"100 * ({' + '.join(f'(\"{x}\" IS NOT NULL)::INT' for x in columns)}) / {len(columns)}.0::DOUBLE", 5)} AS quality_score,
+      date + {i} AS created_at FROM x{i + 1} WHERE "{key}" IS NOT NULL"""
+    for i, (c, (columns, key)) in enumerate(CATEGORY_TABLES.items())
 }
 JOINED = "c_trend t FULL JOIN c_momentum m USING (ticker, date) FULL JOIN c_volatility v USING (ticker, date) FULL JOIN c_volume u USING (ticker, date)"
 
 
 def category_tables(spark, folder):
+    """The four indicator tables, each with a score and a time per row; the first rows of a ticker are missing to different lengths."""
     b = views.bars(spark, folder)
     out = {}
-    for i, (c, cond) in enumerate(CATEGORY_TABLES.items()):
-        score = (F.col("volume") + i).cast("double")
-        out[c] = b.where(cond).select(
-            *K, score.alias(f"{c}_value"), F.when(F.col("volume") % 4 != 0, score).alias("quality_score"),
-            F.date_add("date", i).alias("created_at"))
+    builders = (trend.trend, ind.momentum.momentum, ind.volatility.volatility, ind.volume.volume)
+    for i, ((c, (columns, key)), build) in enumerate(zip(CATEGORY_TABLES.items(), builders)):
+        table = shown(build(b), K, {x: d for x, (_, d) in columns.items()}).where(F.col(key).isNotNull())
+        filled = sum((F.col(x).isNotNull().cast("int") for x in columns), F.lit(0))
+        out[c] = table.withColumns({"quality_score": rounded(100 * filled / float(len(columns)), 5), "created_at": F.date_add("date", i)})
     return out
 
 
-@query("j9_unified_features", sql(f"""SELECT ticker, date, t.q AS trend_value, m.q AS momentum_value, v.q AS volatility_value, u.q AS volume_value,
+@query("j9_unified_features", sql(f"""SELECT ticker, date, t.* EXCLUDE (ticker, date, quality_score, created_at), m.* EXCLUDE (ticker, date, quality_score, created_at),
+  v.* EXCLUDE (ticker, date, quality_score, created_at), u.* EXCLUDE (ticker, date, quality_score, created_at),
   greatest(t.created_at, m.created_at, v.created_at, u.created_at) AS last_updated FROM {JOINED}""", "bars", once=True, **CT))
 def j9(spark, folder):
     from ..operators.joins import unify_categories
 
     out = unify_categories(category_tables(spark, folder))
-    return out.select(*K, "trend_value", "momentum_value", "volatility_value", "volume_value", "last_updated")
+    return out.drop(*[f"{c}_quality" for c in CATEGORY_TABLES])
 
 
-@query("a10_feature_summary", sql(f"""SELECT ticker, date, {', '.join(f"CASE WHEN {a}.q IS NOT NULL THEN {COUNTS[c]} ELSE 0 END AS {c}_features" for a, c in zip('tmvu', COUNTS))},
-  {' + '.join(f"CASE WHEN {a}.q IS NOT NULL THEN {COUNTS[c]} ELSE 0 END" for a, c in zip('tmvu', COUNTS))} AS total_features,
+@query("a10_feature_summary", sql(f"""SELECT ticker, date, {', '.join(f"CASE WHEN {a}.created_at IS NOT NULL THEN {COUNTS[c]} ELSE 0 END AS {c}_features" for a, c in zip('tmvu', COUNTS))},
+  {' + '.join(f"CASE WHEN {a}.created_at IS NOT NULL THEN {COUNTS[c]} ELSE 0 END" for a, c in zip('tmvu', COUNTS))} AS total_features,
   {near('list_avg([x for x in [t.quality_score, m.quality_score, v.quality_score, u.quality_score] if x IS NOT NULL])', 5)} AS avg_quality_score
 FROM {JOINED}""", "bars", once=True, **CT))
 def a10(spark, folder):
@@ -489,7 +489,7 @@ def a10(spark, folder):
     return shown(out, keys, {"avg_quality_score": 5})
 
 
-W7 = {
+W7 = LONG_CTES | {
     "lf": f"SELECT ticker, date, feature_name, feature_category, v FROM ({LONG_SQL}) WHERE abs(v) < 1e9",
     "lo": "SELECT * FROM lf WHERE (dayofyear(date) % 3) <> 0", "ln": "SELECT * REPLACE (v * 2 AS v) FROM lf WHERE (dayofyear(date) % 3) <> 1",
 }

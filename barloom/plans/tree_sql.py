@@ -1,10 +1,13 @@
 """SQL twin of operators.trees: fits and predictions as a chain of common table expressions.
 
 The source ``mi`` has rid, train, ys (whole numbers) and xs (doubles). A unit ``u`` is one boosted model or one tree of a forest.
+Rows whose ``train`` is null are scored but neither learnt from nor tested on.
 """
 
 from __future__ import annotations
 
+import re
+
 from ..operators.trees import BINS, FACTOR, POISSON, PRIME, Learner
 
 
@@ -46,7 +49,7 @@ def grown(learners: list[Learner], n_columns: int) -> dict[str, str]:
         "base": f"""SELECT u, CASE WHEN boosted THEN {divided('s', 'n')} ELSE 0 END AS base FROM (
           SELECT u, any_value(boosted) AS boosted, sum(ys[target + 1])::HUGEINT AS s, count(ys[target + 1]) AS n FROM mi, params WHERE train GROUP BY u)""",
         "st_0": f"""SELECT u, rid, train, bs, ys[target + 1] AS y, base AS p,
-          CASE WHEN NOT train THEN 0 WHEN boosted THEN 1 ELSE {poisson} END AS w
+          CASE WHEN train IS NOT TRUE THEN 0 WHEN boosted THEN 1 ELSE {poisson} END AS w
           FROM bi, params JOIN base USING (u) WHERE ys[target + 1] IS NOT NULL""",
     }
     for t in range(rounds):
@@ -94,3 +97,9 @@ def grown(learners: list[Learner], n_columns: int) -> dict[str, str]:
 def reached(rounds: int) -> str:
     """u, rid, k, node, value of every row and tree."""
     return " UNION ALL ".join(f"SELECT * FROM at_{t}" for t in range(rounds))
+
+
+def prefixed(prefix: str, ctes: dict[str, str]) -> dict[str, str]:
+    """The same chain under other names, ``mi`` included, so that two can stand in one statement."""
+    names = re.compile(r"\b(" + "|".join(sorted([*ctes, "mi"], key=len, reverse=True)) + r")\b")
+    return {prefix + k: names.sub(prefix + r"\1", text) for k, text in ctes.items()}
