@@ -2,8 +2,10 @@
 
 A text is cut into sentences twice: at line ends and sentence ends, and with lines joined, for wrapped notices. Sentences
 are normalised (lower case, words and digits only) and known ones become identifiers, in text order. A rule is a sequence of
-identifiers; it matches where they occur in this order, with anything between. All of it is DataFrame
-expressions on the row: nothing is shuffled and nothing joined.
+identifiers; it matches where they occur in this order, with anything between. Where one rule begins with all of another, the
+longer one takes its span, up to the next place where both could begin, and the shorter one must match elsewhere. Reserved rights
+alone count as a licence only where no other is found. All of it is DataFrame expressions on the row: nothing is shuffled and
+nothing joined. Identifiers are shown of the reading that knows more sentences, of the lines if both know as many.
 
 Defined results: null and empty texts have no sentences and no licences; the result has a row per row of the
 input; an empty table gives no rows.
@@ -98,8 +100,9 @@ RULES = {
     "GPL-3.0": [("gpl-free", "gpl-hope")],
     "GPL-2.0": [("gpl2-free", "gpl-hope")],
     "Unlicense": [("unlicense",)],
-    "Proprietary": [("reserved",)],
 }
+#: What reserved rights mean where nothing else is said.
+ALONE = ("reserved", "Proprietary")
 
 
 def plain(sentence: str) -> str:
@@ -127,6 +130,21 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
     return named + announced + [(licence, rule) for licence, several in RULES.items() for rule in several]
 
 
+def longer_rules() -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """(short, long) where the short rule is how the long one begins; both of some licence."""
+    every = [rule for _, rule in rules()]
+    return [(a, b) for a in every for b in every if len(a) < len(b) and b[: len(a)] == a and len(a) > 1]
+
+
+def span(rule: tuple[str, ...]) -> str:
+    """A pattern of a rule's span in a chain whose places where it begins are written '#'."""
+    return "#" + "".join(f"[^#]*>{x}>" for x in rule[1:])
+
+
+def like(rule: tuple[str, ...]) -> str:
+    return "%" + "%".join(f">{x}>" for x in rule) + "%"
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text whose sentences end where lines do."""
     low = F.translate(text, UPPER, LOWER)
@@ -147,19 +165,29 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     # Lines joined, but for blank lines: the other reading of line ends.
     wrapped = F.regexp_replace(F.regexp_replace(whole, r"\n[ \t]*\n\s*", ". "), r"\s*\n\s*", " ")
     held = docs.select("doc_id", identified(whole).alias("lines"), identified(wrapped).alias("joined"))
+    more = F.when(F.size("joined") > F.size("lines"), F.col("joined")).otherwise(F.col("lines"))
     shown = held.select(
         "doc_id",
-        F.size("lines").cast("long").alias("n_known"),
-        F.array_join("lines", ">").alias("sentence_ids"),
+        F.size(more).cast("long").alias("n_known"),
+        F.array_join(more, ">").alias("sentence_ids"),
         *(F.concat(F.lit(">"), F.array_join(c, ">>"), F.lit(">")).alias(c) for c in ("lines", "joined")),
     )
-    matched = [
-        F.when(F.col("lines").like(pattern) | F.col("joined").like(pattern), F.lit(licence))
-        for licence, rule in rules()
-        for pattern in ["%" + "%".join(f">{x}>" for x in rule) + "%"]
-    ]
-    licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*matched))))
-    return shown.select("doc_id", "n_known", "sentence_ids", F.array_join(licences, " AND ").alias("licences"))
+    shorter = {a: b for a, b in longer_rules()}
+
+    def matches(chain: Column, rule: tuple[str, ...]) -> Column:
+        if rule in shorter:
+            # What is left when the longer rule has taken its spans.
+            chain = F.regexp_replace(F.replace(chain, F.lit(f">{rule[0]}>"), F.lit("#")), span(shorter[rule]), "@")
+            return chain.rlike(span(rule))
+        return chain.like(like(rule))
+
+    matched = [F.when(matches(F.col("lines"), rule) | matches(F.col("joined"), rule), F.lit(licence)) for licence, rule in rules()]
+    licences = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*matched)))), " AND ")
+    reserved = F.col("lines").contains(f">{ALONE[0]}>") | F.col("joined").contains(f">{ALONE[0]}>")
+    found = shown.withColumn("licences", licences).withColumn("reserved", reserved)
+    return found.select(
+        "doc_id", "n_known", "sentence_ids", F.when((F.col("licences") == "") & F.col("reserved"), F.lit(ALONE[1])).otherwise(F.col("licences")).alias("licences")
+    )
 
 
 def oracle() -> str:
@@ -169,7 +197,11 @@ def oracle() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     table = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in known().items())
-    ruled = ", ".join(f"({quoted(n)}, {quoted('%' + '%'.join(f'>{x}>' for x in rule) + '%')})" for n, rule in rules())
+    shorter = {a: b for a, b in longer_rules()}
+    ruled = ", ".join(f"({quoted(n)}, {quoted(like(rule))})" for n, rule in rules() if rule not in shorter)
+    nested = ", ".join(
+        f"({quoted(n)}, {quoted(f'>{rule[0]}>')}, {quoted(span(shorter[rule]))}, {quoted(span(rule))})" for n, rule in rules() if rule in shorter
+    )
 
     def cut(text):
         low = f"translate({text}, '{UPPER}', '{LOWER}')"
@@ -179,12 +211,18 @@ def oracle() -> str:
     wrapped = "regexp_replace(regexp_replace(text, '\\n[ \\t]*\\n[ \\t\\n\\v\\f\\r]*', '. ', 'g'), '[ \\t\\n\\v\\f\\r]*\\n[ \\t\\n\\v\\f\\r]*', ' ', 'g')"
     return f"""
 WITH known(sentence, ident) AS (VALUES {table}), rule(licence, pattern) AS (VALUES {ruled}),
+nested(licence, begins, longer, shorter) AS (VALUES {nested}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 s AS (SELECT r, way, unnest(parts) AS part, generate_subscripts(parts, 1) AS k
    FROM (SELECT r, 0 AS way, {cut("text")} AS parts FROM d UNION ALL SELECT r, 1, {cut(wrapped)} FROM d)),
 i AS (SELECT r, way, count(*) AS n, string_agg(ident, '>' ORDER BY k) AS ids, '>' || string_agg(ident, '>>' ORDER BY k) || '>' AS chain
    FROM s JOIN known ON trim(part, ' ') = sentence GROUP BY r, way),
-l AS (SELECT r, string_agg(DISTINCT licence, ' AND ' ORDER BY licence) AS licences FROM i JOIN rule ON chain LIKE pattern GROUP BY r)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences
-FROM d LEFT JOIN i ON d.r = i.r AND i.way = 0 LEFT JOIN l ON d.r = l.r
+found AS (SELECT r, licence FROM i JOIN rule ON chain LIKE pattern
+   UNION SELECT r, licence FROM i JOIN nested ON regexp_matches(regexp_replace(replace(chain, begins, '#'), longer, '@', 'g'), shorter)),
+l AS (SELECT r, string_agg(DISTINCT licence, ' AND ' ORDER BY licence) AS licences FROM found GROUP BY r),
+alone AS (SELECT DISTINCT r FROM i WHERE contains(chain, '>{ALONE[0]}>')),
+best AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, way) = 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids,
+  coalesce(licences, CASE WHEN alone.r IS NOT NULL THEN '{ALONE[1]}' END, '') AS licences
+FROM d LEFT JOIN best ON d.r = best.r LEFT JOIN l ON d.r = l.r LEFT JOIN alone ON d.r = alone.r
 """

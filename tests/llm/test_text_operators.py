@@ -265,7 +265,7 @@ def test_licences(make_docs, hard):
     ]
     out = {r["doc_id"]: r["licences"] for r in licence_rules.scan(make_docs(pairs + hard)).collect()}
     assert out[50] == "MIT" and out[51] == "" and out[52] == "ISC" and out[53] == "CC-BY-NC-4.0" and out[54] == ""
-    assert out[55] == "GPL-3.0 AND Proprietary" and out[4] == "" and out[5] == ""
+    assert out[55] == "GPL-3.0" and out[4] == "" and out[5] == ""
     assert rows(licence_rules.scan(make_docs([]))) == []
 
 
@@ -294,3 +294,49 @@ def test_licence_headers(make_docs):
     assert [out[i] for i in range(len(commented))] == ["Apache-2.0"] * len(commented)
     assert out[50] == out[55] == out[56] == "MIT" and out[51] == "GPL-2.0" and out[52] == "ISC"
     assert out[53] == "Apache-2.0 AND MIT" and out[54] == ""
+
+
+# Texts as the licences have them, with the usual numbering.
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+
+
+def test_licences_in_full(make_docs):
+    head = "Copyright (c) 2020, Some One. All rights reserved.\n\n"
+    texts = [
+        (head + BSD_3, "BSD-3-Clause"), (head + BSD_2, "BSD-2-Clause"), (head + MIT, "MIT"), (head + "Words.", "Proprietary"), ("Words.", ""),
+        (BSD_2 + "\nThe other part:\n\n" + BSD_3, "BSD-2-Clause AND BSD-3-Clause"), (BSD_3 + "\n\nand\n\n" + BSD_2, "BSD-2-Clause AND BSD-3-Clause"),
+        (BSD_3 + "\n\n" + BSD_3, "BSD-3-Clause"), (BSD_3 + "\n\n" + MIT, "BSD-3-Clause AND MIT"),
+        (BSD_2.split("2. ")[0], ""), ("This file is licensed under the MIT License.\n" + MIT, "MIT"),
+    ]
+    out = {r["doc_id"]: r for r in licence_rules.scan(make_docs([(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    assert [out[i]["licences"] for i in range(len(texts))] == [want for _, want in texts]
+    # Wrapped sentences are shown, too.
+    assert out[2]["sentence_ids"] == "reserved>mit-grant>mit-notice>as-is" and out[2]["n_known"] == 4
