@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,26 +191,27 @@ def overall_quality(features: DataFrame, columns: list[str], min_values: int = 1
     One aggregate turns the panel into one row per ticker with the sorted values of every column; quartiles and counts
     follow from these arrays. A ticker's rows are bounded by the length of the calendar.
     """
-    values = [F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(columns)]
-    sorted_ = features.groupBy("ticker").agg((F.count(F.lit(1)) * len(columns)).alias("n"), *values)
+    values = F.array(*[F.array_sort(F.collect_list(F.col(c).cast("double"))) for c in columns])
+    sorted_ = features.groupBy("ticker").agg((F.count(F.lit(1)) * len(columns)).alias("n"), values.alias("values"))
 
     def quantile(s, q):
         at = (F.size(s) - 1) * q
         low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
         return low + (high - low) * (at - F.floor(at))
 
-    def of(i):
-        s = F.col(f"s{i}")
-        low, high = quantile(s, 0.25), quantile(s, 0.75)
-        reach = 1.5 * (high - low)
-        ends = F.transform(F.array(F.struct((low - reach).alias("low"), (high + reach).alias("high"))), lambda e: F.size(F.filter(s, lambda v: (v < e["low"]) | (v > e["high"]))))
+    def quartiles(s):
+        return F.struct(s.alias("s"), quantile(s, 0.25).alias("q1"), quantile(s, 0.75).alias("q3"))
+
+    def of(c):
+        s, reach = c["s"], 1.5 * (c["q3"] - c["q1"])
+        outlier = F.filter(s, lambda v: (v < c["q1"] - reach) | (v > c["q3"] + reach))
         tested = F.size(s) > min_values
         return F.struct(
             F.size(s).alias("present"), F.size(F.filter(s, lambda v: F.abs(v) == float("inf"))).alias("infinite"),
-            F.when(tested, F.size(s)).otherwise(0).alias("tested"), F.when(tested, F.coalesce(ends[0], F.lit(0))).otherwise(0).alias("outliers"),
+            F.when(tested, F.size(s)).otherwise(0).alias("tested"), F.when(tested, F.size(outlier)).otherwise(0).alias("outliers"),
         )
 
-    counts = sorted_.select("ticker", "n", F.array(*[of(i) for i in range(len(columns))]).alias("counts"))
+    counts = sorted_.select("ticker", "n", F.transform(F.transform("values", quartiles), of).alias("counts"))
 
     def total(name):
         return F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c[name]).alias(name)
