@@ -16,11 +16,16 @@ AGENCY = r"(?i)\(Reuters\)|\(AP\)|\(Bloomberg\)"
 
 # Well-known tickers, in order of priority.
 MAJOR = (
-    "AAPL GOOGL MSFT AMZN TSLA META NVDA NFLX SPY QQQ IWM DIA VTI VOO VEA VWO JPM BAC WFC GS MS C BRK.B V MA JNJ PFE "
-    "UNH ABBV MRK TMO DHR ABT XOM CVX COP SLB EOG PXD KMI OKE"
-).split()
-VALUE = "BRK.B JPM BAC WFC XOM CVX JNJ PG KO PEP WMT HD VZ T IBM INTC".split()
-FUNDS = "SPY QQQ IWM DIA VTI VOO VEA VWO XLF XLK XLE".split()
+    "AAPL", "GOOGL", "MSFT", "AMZN", "TSLA", "META", "NVDA", "NFLX", "SPY", "QQQ", "IWM", "DIA", "VTI", "VOO", "VEA",
+    "VWO", "JPM", "BAC", "WFC", "GS", "MS", "C", "BRK.B", "V", "MA", "JNJ", "PFE", "UNH", "ABBV", "MRK", "TMO", "DHR",
+    "ABT", "XOM", "CVX", "COP", "SLB", "EOG", "PXD", "KMI", "OKE",
+)
+VALUE = (
+    "BRK.B", "JPM", "BAC", "WFC", "XOM", "CVX", "JNJ", "PG", "KO", "PEP", "WMT", "HD", "VZ", "T", "IBM", "INTC",
+)
+FUNDS = (
+    "SPY", "QQQ", "IWM", "DIA", "VTI", "VOO", "VEA", "VWO", "XLF", "XLK", "XLE",
+)
 
 
 def flatten(raw: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def insight_rows(articles: DataFrame) -> DataFrame:
 
 def is_fund(t: Column) -> Column:
     """Known funds, and by rule every symbol of at most three letters."""
-    return t.isin(FUNDS) | (F.length(t) <= 3)
+    return t.isin(*FUNDS) | (F.length(t) <= 3)
 
 
 def _ladder(x: Column, steps, rest: float) -> Column:
@@ -181,12 +186,12 @@ def prioritised(tickers: DataFrame, n: int = 100, include_funds: bool = True) ->
     if not include_funds:
         rows = rows.where(~is_fund(t))
     category = (
-        F.when(t.isin(MAJOR), "major").when(t.isin(VALUE), "value").when(is_fund(t), "etf")
+        F.when(t.isin(*MAJOR), "major").when(t.isin(*VALUE), "value").when(is_fund(t), "etf")
         .when(cap >= 100e9, "large_cap").when(cap >= 10e9, "mid_cap").otherwise("small_cap")
     )
     scored = rows.select(
         "ticker", priority_score(cap, F.col("avg_volume")).alias("priority_score"), "market_cap", "avg_volume",
-        t.isin(MAJOR).alias("is_major"), category.alias("category"),
+        t.isin(*MAJOR).alias("is_major"), category.alias("category"),
     ).withColumn("relevance_score", F.col("priority_score") / 100)
     return scored.orderBy(F.desc("priority_score"), "ticker").limit(n)
 
@@ -204,7 +209,7 @@ def lookup(wanted: DataFrame, priorities: DataFrame) -> DataFrame:
     out = wanted.select(F.upper("ticker").alias("ticker")).join(priorities, "ticker", "left")
     return out.withColumns({
         "priority_score": F.coalesce("priority_score", F.lit(0.0)), "category": F.coalesce("category", F.lit("unknown")),
-        "is_major": F.coalesce("is_major", F.col("ticker").isin(MAJOR)),
+        "is_major": F.coalesce("is_major", F.col("ticker").isin(*MAJOR)),
     })
 
 

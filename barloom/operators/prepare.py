@@ -19,6 +19,7 @@ from .features import calendar, numeric_columns, prediction_bounds, price_normal
 from .trend import LOOK_AHEAD
 from .validate import on_weekdays
 
+# Columns that are no features, and those that every set keeps.
 METADATA = (
     "ticker", "date", "data_year", "feature_version", "calculation_date", "start_date", "end_date",
     "feature_categories", "file_path", "warnings", "quality_score", "record_count", "total_features", "file_size_mb",

@@ -177,6 +177,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     n = supplier_count(spark, folder)
     return table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("id"),
+        # Documents have no titles; the body stays whole.
         F.substring("text", 1, 200).alias("title"),
         F.col("text").alias("description"),
         F.concat(F.lit("https://news.example.com/"), F.col("doc_id").cast("string")).alias("article_url"),
