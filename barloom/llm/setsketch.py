@@ -8,9 +8,9 @@ set sizes; pairs that may reach the threshold are confirmed on the full sets of
 
 Documents with the same set are one class, whose smallest doc_id stands for it. In a bucket, classes are first
 compared with one hub only, the class that shares most buckets. Links then join components, and only members of different
-components are compared further: with the bucket's own hub, then all of them in buckets of up to ``MEMBERS``, and with as many
-of the main component in larger ones. What these still need is found by an exact prefix filter, so no pair that links is left
-out and the pairs do not grow with the square of a bucket.
+components are compared further: with the bucket's own hub, then with ``MEMBERS`` members, which is all in most buckets. What
+larger buckets still need is found by an exact prefix filter, so no pair that links is left out and the
+pairs do not grow with the square of a bucket.
 
 Defined results: null, empty and white-space texts have no shingles and are linked with nothing; texts
 with fewer words than a shingle have one, their whole sequence; repeated rows and a doc_id on several rows count as
@@ -37,7 +37,7 @@ BANDS, BAND = 24, 4
 BASE, RATE = 1.02, 20.0
 #: A pair is confirmed on its texts if its estimate is not below the threshold by more: six deviations.
 MARGIN = 0.25
-#: Members of a bucket that is compared whole, and in larger ones of its main component that the others are compared with.
+#: Members of a bucket that the others are compared with before the prefix filter.
 MEMBERS = 16
 
 FACTORS = np.random.default_rng(71).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,32 +199,20 @@ def links(docs: DataFrame, sketched: DataFrame, size: int, threshold: float) ->
         )
         return now, several.where("low < high").select("band", "key", "n")
 
-    def turn(chosen: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Chosen members against all members of their buckets that are of other components."""
+    for others in ("hub = rep", None):
+        now, several = placed()
+        open_ = now.join(several, ["band", "key"])
+        # About MEMBERS of a bucket, chosen by hash; a bucket of that size or less gives all.
+        chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        chosen = open_.where(others) if others else open_.where(chance * F.col("n") < MEMBERS)
         one = chosen.select("band", "key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))
         other = open_.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"))
         # Sets whose sizes differ by more than the threshold allows cannot reach it.
         possible = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= round(threshold * 100) * F.greatest("nx", "ny"))
         pairs = one.join(other, ["band", "key"]).where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return decide(pairs.distinct().join(done, ["a", "b"], "left_anti"))
-
-    now, several = placed()
-    open_ = now.join(several, ["band", "key"])
-    tried, found = turn(open_.where("hub = rep"), open_)
-    done, edges = done.union(tried), edges.union(found)
-    # Small buckets are compared whole. In the others, about MEMBERS of the component that most members have, chosen by hash,
-    # meet the members of other components: so many pairs per member, whatever the size of the bucket.
-    now, several = placed()
-    open_ = now.join(several, ["band", "key"])
-    sizes = open_.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("rows"))
-    main = sizes.groupBy("band", "key").agg(F.max(F.struct("rows", "component")).alias("most")).select("band", "key", F.col("most.component").alias("main"))
-    open_ = open_.join(main, ["band", "key"]).withColumn("in_main", F.col("component") == F.col("main"))
-    chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    small = F.col("n") <= MEMBERS
-    chosen = open_.where(small | (F.col("in_main") & (chance * F.col("n") < MEMBERS)))
-    tried, found = turn(chosen, open_.where(small | ~F.col("in_main")))
-    done, edges = done.union(tried), edges.union(found)
-    # What the larger ones still need, by the prefix filter.
+        # A pair that shares several buckets is one pair.
+        tried, found = decide(pairs.distinct().join(done, ["a", "b"], "left_anti"))
+        done, edges = done.union(tried), edges.union(found)
     now, several = placed()
     crowded = now.join(several.where(F.col("n") > MEMBERS), ["band", "key"], "left_semi").select("rep", "component").distinct()
     _, found = decide(_rest(crowded, texts, size, threshold).distinct().join(done, ["a", "b"], "left_anti"))
