@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import fresh_path
+from ..functions.shared import fresh_path, materialise
 from ..operators import aggregates, dividends, features, merge, trend, validate
 from ..sources import storage, views
 from . import indicators as ind
@@ -499,7 +499,8 @@ W7 = LONG_CTES | {
   {near('coalesce(o.v, n.v)', 4)} AS ignored FROM lo o FULL JOIN ln n USING (ticker, date, feature_name, feature_category)""", "bars", once=True, **W7))
 def w7(spark, folder):
     keys = [*K, "feature_category", "feature_name"]
-    long = features.long_features(long_input(spark, folder), list(LONG))
+    # Both sides of both upserts read the panel, so it is written once.
+    long = features.long_features(materialise(long_input(spark, folder), "long-input"), list(LONG))
     old = long.where(F.dayofyear("date") % 3 != 0)
     new = long.where(F.dayofyear("date") % 3 != 1).withColumn("feature_value", F.col("feature_value") * 2)
     over = merge.replace_rows(old, new, keys).withColumnRenamed("feature_value", "overwritten")
