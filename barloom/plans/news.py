@@ -110,10 +110,10 @@ def b6(spark, folder):
     return news.newest_distinct(copies, "2024-01-03", "2024-01-09", 100).select("id", "published_utc")
 
 
-def stored(spark, folder):
-    """A store holding two thirds of the valid articles, a third of those with another title."""
+def stored(p):
+    """A store holding two thirds of the valid ones of the prepared articles ``p``, a third of those with another title."""
     k = F.col("polygon_id").cast("long")
-    p = prepared(spark, folder).where("is_valid").withColumn("published_at", news.published()).where(F.col("published_at").isNotNull())
+    p = p.where("is_valid").withColumn("published_at", news.published()).where(F.col("published_at").isNotNull())
     return p.where(k % 3 != 0).withColumns({
         "title": F.when(k % 3 == 1, F.concat(F.lit("Old "), F.substring("title", 1, 900))).otherwise(F.col("title")),
         "tickers": F.when(k % 2 == 0, F.array(F.lit("OLD"))).otherwise(F.col("tickers"))}).select(*news.STORED)
@@ -125,14 +125,14 @@ MERGED = """SELECT id AS polygon_id, k, title, CASE WHEN k % 3 = 0 THEN 'new' WH
 
 @query("b7_store_articles", sql("SELECT polygon_id, title, outcome, tickers FROM merged", *A, **P, merged=MERGED))
 def b7(spark, folder):
-    out = news.store_batch(stored(spark, folder), prepared(spark, folder))
+    out = news.store_batch(stored(prepared(spark, folder)), prepared(spark, folder))
     return out.select("polygon_id", "title", "outcome", F.array_join(F.array_sort("tickers"), ",").alias("tickers"))
 
 
 @query("w6_upsert_articles", sql("SELECT polygon_id, title, CASE WHEN k % 5 = 0 THEN CASE WHEN k % 3 = 0 THEN 'absent' ELSE 'kept' END ELSE outcome END AS outcome FROM (SELECT polygon_id, k, outcome, CASE WHEN k % 5 = 0 AND k % 3 = 1 THEN 'Old ' || left(title, 900) ELSE title END AS title FROM merged) WHERE NOT (k % 5 = 0 AND k % 3 = 0)", *A, **P, merged=MERGED))
 def w6(spark, folder):
     p = prepared(spark, folder).where("is_valid").withColumn("published_at", news.published()).where(F.col("published_at").isNotNull()).select(*news.STORED)
-    return merge.upsert_articles(stored(spark, folder), p.where(F.col("polygon_id").cast("long") % 5 != 0)).select("polygon_id", "title", "outcome")
+    return merge.upsert_articles(stored(prepared(spark, folder)), p.where(F.col("polygon_id").cast("long") % 5 != 0)).select("polygon_id", "title", "outcome")
 
 
 def store(spark, folder):
@@ -201,7 +201,7 @@ def b12(spark, folder):
   count(*) FILTER (outcome = 'skipped') + (SELECT count(*) FROM prepared WHERE NOT coalesce(is_valid, false)) AS skipped FROM merged""", *A, **P, merged=MERGED))
 def b14(spark, folder):
     p = prepared(spark, folder)
-    return news.batch_counts(p, news.store_batch(stored(spark, folder), p))
+    return news.batch_counts(p, news.store_batch(stored(p), p))
 
 
 @query("b15_publication_time", sql(f"""SELECT id, strftime(pub, '{FMT}') AS published, CAST(title <> '' AND article_url IS NOT NULL AND published_utc <> '' AS INTEGER) AS complete FROM timed""", *A, damaged=DAMAGED, timed=TIMED))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import fresh_path
+from ..functions.shared import fresh_path, materialise
 from ..operators import features, merge, news
 from ..sources import partitioned, views
 from . import company, panel
@@ -84,7 +84,8 @@ def w5(spark, folder):
 FROM lo o FULL JOIN (SELECT * FROM ln WHERE year(date) = 1995) n USING (ticker, date, feature_name, feature_category)""", "bars", once=True, **panel.W7))
 def w7(spark, folder):
     keys = ["ticker", "date", "feature_category", "feature_name"]
-    long = features.long_features(panel.long_input(spark, folder), list(panel.LONG))
+    # The store (whose writer samples it first) and the batch read the panel, so it is written once.
+    long = features.long_features(materialise(panel.long_input(spark, folder), "long-input"), list(panel.LONG))
     old = long.where(F.dayofyear("date") % 3 != 0)
     new = long.where((F.dayofyear("date") % 3 != 1) & (F.year("date") == 1995)).withColumn("feature_value", F.col("feature_value") * 2)
     out = merged_store(spark, old, new, partitioned.by_year(), lambda o, n: merge.replace_rows(o, n, keys))
@@ -98,13 +99,18 @@ def w9(spark, folder):
     return merged_store(spark, old, batch, partitioned.by_year(), lambda o, n: merge.replace_rows(o, n, ["ticker_id", "date"]))
 
 
-def stored_news(spark, folder):
-    """A store of articles on disk: its path."""
+def stored_news(spark, p):
+    """A store of the prepared articles ``p`` on disk: its path."""
     path = fresh_path(spark, "articles")
-    partitioned.write_articles(news_plans.stored(spark, folder), path)
+    partitioned.write_articles(news_plans.stored(p), path)
     return path
 
 
+def prepared_news(spark, folder):
+    """The prepared articles, written once: the store's writer samples them before it writes, and the batch reads them again."""
+    return materialise(news_plans.prepared(spark, folder), "prepared")
+
+
 #: What changes when only the batch's articles are compared: as b7, without those that are not in it.
 BATCH = """SELECT * REPLACE (CASE WHEN k % 5 = 0 THEN CASE WHEN k % 3 = 0 THEN 'absent' ELSE 'kept' END ELSE outcome END AS outcome,
   CASE WHEN k % 5 = 0 AND k % 3 = 1 THEN 'Old ' || left(title, 900) ELSE title END AS title,
@@ -114,8 +120,9 @@ BATCH = """SELECT * REPLACE (CASE WHEN k % 5 = 0 THEN CASE WHEN k % 3 = 0 THEN '
 
 @query("w6_stored_articles", sql("SELECT polygon_id, title, outcome, tickers FROM batch WHERE outcome <> 'absent'", *news_plans.A, **news_plans.P, merged=news_plans.MERGED, batch=BATCH))
 def w6(spark, folder):
-    path = stored_news(spark, folder)
-    new = news.storable(news_plans.prepared(spark, folder)).where(F.col("polygon_id").cast("long") % 5 != 0)
+    p = prepared_news(spark, folder)
+    path = stored_news(spark, p)
+    new = news.storable(p).where(F.col("polygon_id").cast("long") % 5 != 0)
     outcomes = partitioned.upsert_stored_articles(spark, path, new)
     out = partitioned.read_partitioned(spark, path).join(outcomes, "polygon_id", "left")
     return out.select("polygon_id", "title", F.coalesce("outcome", F.lit("kept")).alias("outcome"), F.array_join(F.array_sort("tickers"), ",").alias("tickers"))
@@ -123,8 +130,9 @@ def w6(spark, folder):
 
 @query("b7_stored_batch", sql("SELECT polygon_id, title, outcome, tickers FROM merged", *news_plans.A, **news_plans.P, merged=news_plans.MERGED))
 def b7(spark, folder):
-    path = stored_news(spark, folder)
-    outcomes = partitioned.upsert_stored_articles(spark, path, news.storable(news_plans.prepared(spark, folder)))
+    p = prepared_news(spark, folder)
+    path = stored_news(spark, p)
+    outcomes = partitioned.upsert_stored_articles(spark, path, news.storable(p))
     out = partitioned.read_partitioned(spark, path).join(outcomes, "polygon_id")
     return out.select("polygon_id", "title", "outcome", F.array_join(F.array_sort("tickers"), ",").alias("tickers"))
 
@@ -133,5 +141,5 @@ def b7(spark, folder):
   count(*) FILTER (outcome = 'skipped') + (SELECT count(*) FROM prepared WHERE NOT coalesce(is_valid, false)) AS skipped FROM merged""", *news_plans.A, **news_plans.P, merged=news_plans.MERGED))
 def b14(spark, folder):
     """Counts need the outcomes only: no stored body is read for them."""
-    p = news_plans.prepared(spark, folder)
-    return news.batch_counts(p, partitioned.article_outcomes(spark, stored_news(spark, folder), news.storable(p)).select("outcome"))
+    p = prepared_news(spark, folder)
+    return news.batch_counts(p, partitioned.article_outcomes(spark, stored_news(spark, p), news.storable(p)).select("outcome"))
