@@ -6,6 +6,7 @@ whole history, windows as ROWS frames.
 
 from __future__ import annotations
 
+from ..functions.shared import spread
 from ..operators import momentum, trend, volatility, volume
 from ..sources import views
 from .common import near, query, shown
@@ -63,7 +64,7 @@ def register(name, operator, columns, source, ctes):
 
     @query(name, sql(final(columns, source), "bars", **ctes))
     def run(spark, folder):
-        return shown(operator(views.bars(spark, folder)), K, digits_of(columns))
+        return shown(operator(spread(views.bars(spark, folder))), K, digits_of(columns))
 
 
 PERIODS = trend.AVERAGE_PERIODS
