@@ -40,6 +40,8 @@ BITS, BLOCK = 26, 1 << 16
 WORD_BITS, PART, MOST_PARTS = 20, 1 << 16, 1 << 12
 #: Words of the corpus per shard, and the least number of shards.
 SHARD, SHARDS = 1 << 22, 64
+#: Entries whose prefixes and words are Python strings at a time, and rows that a task adds up together.
+ENTRIES, ROWS = 1 << 16, 500_000
 #: Copies of the counts that cut phrases are looked up in, so that a common first word is no hot key.
 SALTS = 8
 SEPARATORS = r"[.,;:!?\n\x0B\f\r]+"
@@ -69,6 +71,14 @@ def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Arr
             yield lang, *coded_pieces(texts[start:stop])
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, and at the end, what Arrow holds for reuse goes back to the system: workers outlive their tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 class Runs:
     """Hashes of the runs of words that start at each place, and whether they may be frequent."""
 
@@ -141,6 +151,10 @@ class Parts:
 
     def shard(self, lang: str, prefixes: pa.Array, nexts: pa.Array) -> np.ndarray:
         """The shard of each entry: all of one prefix and part go to the same."""
+        out = [self._shard(lang, prefixes[i : i + ENTRIES], nexts[i : i + ENTRIES]) for i in range(0, len(prefixes), ENTRIES)]
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+
+    def _shard(self, lang: str, prefixes: pa.Array, nexts: pa.Array) -> np.ndarray:
         before, after = prefixes.dictionary_encode(), nexts.dictionary_encode()
         names = before.dictionary.to_pylist()
         parts = self.of(lang, names)[before.indices.to_numpy()]
@@ -166,7 +180,7 @@ def frequent_buckets(docs: DataFrame, at_least: int, bits: int = BITS, pairs=Non
         # Counters stop at at_least, so a byte is enough for small ones.
         counters = np.zeros(1 << bits, dtype=kind)
         words = np.zeros(1 << WORD_BITS, dtype=np.int64)
-        for batch in batches:
+        for batch in freed(batches):
             for found in by_language(batch):
                 if not pairs:
                     add_words(words, *found)
@@ -245,13 +259,13 @@ def stripes(docs: DataFrame, pairs, longer, words, bits: int = BITS) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Parts(words.value)
-        for batch in batches:
+        for batch in freed(batches):
             for lang in batch.column(0).unique().to_pylist():
                 own, parts, rows = batch.filter(pc.equal(batch.column(0), lang)), [], 0
                 for _, codes, vocabulary in by_language(own):
                     parts.append(windows(codes, vocabulary, extensions(lang, codes, vocabulary, bits, pairs.value, longer.value)))
                     rows += len(parts[-1])
-                    if rows > 2_000_000:
+                    if rows > ROWS:
                         parts = [added(parts)]
                         rows = 0
                 yield from rows_of(lang, added(parts), deal)
@@ -284,7 +298,7 @@ def merge_stripes(rows: DataFrame, at_least: int, words) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal, held = Parts(words.value), None
-        for batch in batches:
+        for batch in freed(batches):
             if len(batch):
                 table = pa.Table.from_batches([batch]).cast(schema)
                 done, held = added(pa.concat_tables([held, table]) if held is not None else table)
@@ -328,16 +342,20 @@ def merge_stripes(rows: DataFrame, at_least: int, words) -> DataFrame:
         large = large[np.argsort(of[large], kind="stable")]
         ends = np.concatenate([[0], np.cumsum(np.bincount(of[large], minlength=len(found)))]).astype(np.int32)
         lists = {c: pa.ListArray.from_arrays(pa.array(ends), sums[c].combine_chunks().take(pa.array(large))) for c in ("next", "n")}
-        prefixes = coded.dictionary.take(pa.array(found % len(coded.dictionary)))
-        own = first.take(pa.array(found // len(coded.dictionary)))
-        up = [prefix.rsplit(" ", 1) if " " in prefix else ["", prefix] for prefix in prefixes.to_pylist()]
-        shorter, last = (pa.array(list(c), pa.string()) for c in zip(*up))
-        shards, langs = np.zeros(len(found), dtype=np.int32), own["lang"].combine_chunks()
-        for lang in langs.unique().to_pylist():
-            at = pa.array(np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False)))
-            shards[at.to_numpy()] = deal.shard(lang, shorter.take(at), last.take(at))
-        columns = {**{k: own[k] for k in keys}, "prefix": prefixes, "total": pa.array(totals), **lists}
-        yield from pa.table({**columns, "up_prefix": shorter, "up_next": last, "up_shard": pa.array(shards)}).to_batches()
+        names = coded.dictionary
+        del sums, coded, code, of
+        for i in range(0, len(found), ENTRIES):
+            some = found[i : i + ENTRIES]
+            prefixes, own = names.take(pa.array(some % len(names))), first.take(pa.array(some // len(names)))
+            up = [prefix.rsplit(" ", 1) if " " in prefix else ["", prefix] for prefix in prefixes.to_pylist()]
+            shorter, last = (pa.array(list(c), pa.string()) for c in zip(*up))
+            shards, langs = np.zeros(len(some), dtype=np.int32), own["lang"].combine_chunks()
+            for lang in langs.unique().to_pylist():
+                at = pa.array(np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False)))
+                shards[at.to_numpy()] = deal.shard(lang, shorter.take(at), last.take(at))
+            columns = {**{k: own[k] for k in keys}, "prefix": prefixes, "total": pa.array(totals[i : i + ENTRIES])}
+            columns |= {c: x.slice(i, len(some)) for c, x in lists.items()}
+            yield from pa.table({**columns, "up_prefix": shorter, "up_next": last, "up_shard": pa.array(shards)}).to_batches()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, MERGED)
 

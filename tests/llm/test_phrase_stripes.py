@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -123,3 +124,32 @@ def test_windows():
     got = {(r["prefix"], r["next"]): r["n"] for r in ps.windows(codes, words, extended).to_pylist()}
     assert got == {("a b a", "b"): 1, ("b a", "b"): 1, ("a", "b"): 1, ("", "b"): 1, ("", "c"): 1}
     assert isinstance(words, pa.Array)
+
+
+def test_prefixes_are_python_strings_in_part(monkeypatch):
+    """The memory of a task's Python strings stays that of a part of its entries."""
+    counts = np.zeros(1 << ps.WORD_BITS, dtype=np.int64)
+    prefixes, nexts = pa.array([f"prefix {i}" for i in range(200_000)]), pa.array(["a", "b"] * 100_000)
+    deal = ps.Parts(counts)
+    monkeypatch.setattr(ps, "ENTRIES", 1 << 20)
+    want = deal.shard("en", prefixes, nexts)
+    monkeypatch.setattr(ps, "ENTRIES", 10_000)
+    tracemalloc.start()
+    got = deal.shard("en", prefixes, nexts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and got.dtype == np.int32 and most < 8 << 20
+    assert len(deal.shard("en", prefixes[:0], nexts[:0])) == 0
+
+
+def test_merged_rows_in_parts(spark):
+    """A shard of more prefixes than are taken at a time has each once, with its own entries."""
+    n = ps.ENTRIES + 100
+    words = spark.sparkContext.broadcast(np.zeros(1 << ps.WORD_BITS, dtype=np.int64))
+    rows = [("en", 1, 5, [f"p{i}" for i in range(n)] * 2, ["x"] * n + ["y"] * n, [1] * n + list(range(n)))]
+    out = ps.merge_stripes(spark.createDataFrame(rows, ps.STRIPES), 2, words).toPandas()
+    assert len(out) == n and out.prefix.is_unique
+    number = out.prefix.str[1:].astype(int)
+    assert (out.total == number + 1).all() and (out.up_next == out.prefix).all()
+    assert all(list(c) == (["y"] if i >= 2 else []) for i, c in zip(number, out.next))
+    assert all(list(c) == ([i] if i >= 2 else []) for i, c in zip(number, out.n))
