@@ -28,15 +28,12 @@ LIKE = 0.7
 MIN_DOCS, MIN_TOKENS = 10, 3
 #: A word: a token with a letter and no digit.
 WORD = r"(?<![^ ])[^ 0-9]*\p{L}[^ 0-9]*(?![^ ])"
+#: White space within lines, besides blanks.
+SPACES = "\t\r\f\x0b"
 #: Comes after every doc_id.
 NONE = (1 << 63) - 1
 
 
-def plain(line):
-    """A line with blanks for other white space and none at its ends."""
-    return F.trim(F.translate(line, "\t\r\f\x0b", "    "))
-
-
 def token_count(line):
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
@@ -70,15 +67,16 @@ def order_of_doc():
 
 def leaves(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc, copy (hash of the text), number, leaf (hash), line (plain) of the lines that are long enough."""
-    lines = docs.select(
-        order_of_doc().alias("doc"), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("number", "line")
-    )
-    lines = lines.withColumn("line", plain(F.col("line"))).where(token_count(F.col("line")) >= min_tokens)
+    # Once per text: per line, translate would run again in every expression that reads the line.
+    lines = F.split(F.regexp_replace("text", f"[{SPACES}]", " "), "\n")
+    lines = docs.select(order_of_doc().alias("doc"), F.xxhash64("text").alias("copy"), F.posexplode(lines).alias("number", "line"))
+    lines = lines.withColumn("line", F.trim("line")).where(token_count(F.col("line")) >= min_tokens)
     return lines.select("doc", "copy", "number", digest(leaf(F.col("line"))).alias("leaf"), "line")
 
 
 def digest(text):
-    return F.unhex(F.md5(text.cast("binary")))
+    # Never null, so that joins by it need no filter for nulls, which would hash every line a second time.
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
 
 
 def counted(lines: DataFrame, *keys: str) -> DataFrame:
@@ -124,7 +122,8 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MI
     """
     others = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in docs.columns if c != "text"])
     keyed = docs.select(others.alias("row"), "text", order_of_doc().alias("doc"), F.xxhash64("text").alias("copy"))
-    joined = keyed.join(dropped(docs, min_docs, min_tokens), ["doc", "copy"], "left")
+    # Sorted at every size: lists small enough to be sent to all tasks would leave the texts in place on small inputs only.
+    joined = keyed.join(dropped(docs, min_docs, min_tokens).hint("merge"), ["doc", "copy"], "left")
     pieces = F.split("text", "\n")
     kept = F.filter(pieces, lambda line, number: ~F.array_contains("lines", number))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
