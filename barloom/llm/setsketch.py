@@ -8,9 +8,9 @@ set sizes; pairs that may reach the threshold are confirmed on the full sets of
 
 Documents with the same set are one class, whose smallest doc_id stands for it. In a bucket, classes are first
 compared with one hub only, the class that shares most buckets. Links then join components, and only members of different
-components are compared further: with the bucket's own hub, then with ``MEMBERS`` members, which is all in most buckets. What
-larger buckets still need is found by an exact prefix filter, so no pair that links is left out and the
-pairs do not grow with the square of a bucket.
+components are compared further: with the bucket's own hub, then all with all in buckets of up to ``MEMBERS``, as most
+are, and with ``FEW`` members in larger ones. What these still need is found by an exact prefix filter, so no pair that links is
+left out and the pairs do not grow with the square of a bucket.
 
 Defined results: null, empty and white-space texts have no shingles and are linked with nothing; texts
 with fewer words than a shingle have one, their whole sequence; repeated rows and a doc_id on several rows count as
@@ -37,8 +37,9 @@ BANDS, BAND = 24, 4
 BASE, RATE = 1.02, 20.0
 #: A pair is confirmed on its texts if its estimate is not below the threshold by more: six deviations.
 MARGIN = 0.25
-#: Members of a bucket that the others are compared with before the prefix filter.
-MEMBERS = 16
+#: Members of a bucket that are all compared with each other, and of larger buckets, that the others are compared with
+#: before the prefix filter, which compares the rest of those.
+MEMBERS, FEW = 16, 4
 
 FACTORS = np.random.default_rng(71).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Values hashed at a time.
@@ -202,9 +203,10 @@ def links(docs: DataFrame, sketched: DataFrame, size: int, threshold: float) ->
     for others in ("hub = rep", None):
         now, several = placed()
         open_ = now.join(several, ["band", "key"])
-        # About MEMBERS of a bucket, chosen by hash; a bucket of that size or less gives all.
+        # All of a bucket of up to MEMBERS, about FEW of a larger one, chosen by hash: what does not link with the hubs
+        # seldom links with others, so more of them are mostly pairs in vain, as many times a group's size.
         chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = open_.where(others) if others else open_.where(chance * F.col("n") < MEMBERS)
+        chosen = open_.where(others) if others else open_.where((F.col("n") <= MEMBERS) | (chance * F.col("n") < FEW))
         one = chosen.select("band", "key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))
         other = open_.select("band", "key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"))
         # Sets whose sizes differ by more than the threshold allows cannot reach it.

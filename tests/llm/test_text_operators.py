@@ -217,6 +217,30 @@ def test_bpe_offsets_and_split_characters(make_docs):
     assert back["text"] == text and bytes(back["bytes"]) == text.encode()
 
 
+# Large buckets of near copies
+
+
+def test_setsketch_compares_few_in_large_buckets(make_docs, monkeypatch):
+    """Of a group that hardly links, each is compared with a few members and not with sixteen."""
+    rng, base, tried = random.Random(5), prose(3, 300), []
+    pairs = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(300), 26):
+            words[at] = f"own{i}x{at}"
+        pairs.append((i, " ".join(words)))
+
+    def counted(df, name, write=setsketch.materialise):
+        out = write(df, name)
+        if name == "pairs":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(setsketch, "materialise", counted)
+    assert rows(setsketch.near_duplicates(make_docs(pairs), 2)) == brute_near(pairs, 2)
+    assert tried[2] < 8 * len(pairs)
+
+
 # Line templates
 
 
@@ -251,6 +275,17 @@ def test_line_templates_compare_all_tokens(make_docs):
     assert sorted(r["n_dropped"] for r in line_templates.deduplicated(make_docs(same)).collect()) == [0] + [1] * 11
 
 
+def test_line_templates_hash_a_line_once(make_docs):
+    """Joins by the leaf hash no line again, and texts are joined in the same way at every size."""
+    docs = make_docs([(i, f"own\tline of a {i}\x0b\nanother \f line here") for i in range(12)])
+    lines = line_templates.leaves(docs)
+    held = lines.join(lines.select("leaf").distinct(), "leaf")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"isnotnull\((coalesce\()?unhex", held) and "translate" not in held
+    assert {r["line"] for r in lines.collect()} == {f"own line of a {i}" for i in range(12)} | {"another   line here"}
+    plan = line_templates.deduplicated(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"SortMergeJoin \[doc.*copy.*LeftOuter", plan)
+
+
 # Licences
 
 
