@@ -93,6 +93,8 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, slices: int = 64, co
     Rows are first reduced to distinct values. Each group is then cut into ``slices``
     value ranges by a sketch, ranked range by range, and shifted by the counts of the
     lower ranges, so one huge group is spread over many tasks and the result is exact.
+    A sketch depends on the order in which its parts arrive, so the cuts are worked out once and written: ranks and
+    shifts must see the same ranges.
     """
     values = (
         df.where(F.col(value).isNotNull())
@@ -104,6 +106,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, slices: int = 64, co
             value, F.array(*[F.lit(i / slices) for i in range(1, slices)]), 10_000
         ).alias("_cuts")
     )
+    cuts = materialise(cuts, "cuts")
     sliced = values.join(cuts, keys).withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")

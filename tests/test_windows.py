@@ -1,6 +1,7 @@
 """Window helpers, smoothing, exact quantiles and ranks against pandas and numpy."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
@@ -195,3 +196,16 @@ def test_value_ranks_of_a_hot_group(spark, slices):
         group = pdf[pdf.g == g].v
         row = got.loc[(g, v)]
         assert (row.n_equal, row.n_below, row.n_total) == (len(part), (group < v).sum(), len(group))
+
+
+def test_value_ranks_when_the_sketch_varies(spark, monkeypatch):
+    """A sketch may come out otherwise each time it is worked out; ranks and the shifts of the ranges must see the same one."""
+    vary = F.udf(lambda cuts: [c + random.uniform(-40, 40) for c in cuts], "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *a, real=F.percentile_approx: vary(real(*a)))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.createDataFrame([("a", float(i % 500)) for i in range(1000)], "g string, v double")
+        got = {r.v: (r.n_equal, r.n_below, r.n_total) for r in value_ranks(df, ["g"], "v", 8).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == {float(v): (2, 2 * v, 1000) for v in range(500)}
